@@ -287,14 +287,14 @@ def u6(spark, folder):
     "g2_decile_fills",
     ctes(
         "frames",
-        _SCENES + _FILLS + """ SELECT video_id, round(timestamp_sec, 7) AS timestamp_sec, round(t_start, 7) AS t_start,
-                                      round(t_end, 7) AS t_end FROM fills""",
+        _SCENES + _FILLS + """ SELECT video_id, round(timestamp_sec, 3) AS timestamp_sec, round(t_start, 3) AS t_start,
+                                      round(t_end, 3) AS t_end FROM fills""",
     ),
 )
 def g2(spark, folder):
     missing = generators.missing_deciles(_samples(spark, folder), recordings(spark, folder))
     return generators.decile_fills(missing).select(
-        "video_id", *[F.round(c, 7).alias(c) for c in ("timestamp_sec", "t_start", "t_end")]
+        "video_id", *[F.round(c, 3).alias(c) for c in ("timestamp_sec", "t_start", "t_end")]
     )
 
 
@@ -306,12 +306,12 @@ def g2(spark, folder):
         + _FILLS
         + """, pool AS (SELECT video_id, timestamp_sec, is_scene_boundary FROM samples UNION ALL
                         SELECT video_id, timestamp_sec, is_scene_boundary FROM fills)
-SELECT video_id, round(timestamp_sec, 7) AS timestamp_sec, is_scene_boundary FROM pool""",
+SELECT video_id, round(timestamp_sec, 3) AS timestamp_sec, is_scene_boundary FROM pool""",
     ),
 )
 def u1(spark, folder):
     pool = generators.candidates(_scenes(spark, folder), recordings(spark, folder))
-    return pool.select("video_id", F.round("timestamp_sec", 7).alias("timestamp_sec"), "is_scene_boundary")
+    return pool.select("video_id", F.round("timestamp_sec", 3).alias("timestamp_sec"), "is_scene_boundary")
 
 
 @query(
