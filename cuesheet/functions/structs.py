@@ -23,6 +23,17 @@ TABLE = "struct<headers:array<string>,rows:array<array<string>>>"
 FLAT_WORDS = "uniform|constant|균등|flat|동일"
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else null.
+
+    The parser ignores what follows the first value, so the text is read as the only element
+    of an array.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(items) == 1, items[0])
+
+
 def as_number(value: Column) -> Column:
     """VARIANT to double; numeric text counts, everything else is null."""
     return F.try_variant_get(value, "$", "double")
