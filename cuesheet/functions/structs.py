@@ -23,15 +23,26 @@ TABLE = "struct<headers:array<string>,rows:array<array<string>>>"
 FLAT_WORDS = "uniform|constant|균등|flat|동일"
 
 
-def strict_json(text: Column) -> Column:
-    """VARIANT of a text that is one JSON value and nothing else, else null.
+def _wrapped(text: Column) -> Column:
+    """The text followed by ``true`` in one array.
 
-    The parser ignores what follows the first value, so the text is read as the only element
-    of an array.
+    The parser ignores what follows the first value of a text, so a text is one JSON value and
+    nothing else exactly when this array has two elements.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",true]")))
+
+
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else null."""
+    items = F.try_variant_get(_wrapped(text), "$", "array<variant>")
+    return F.when(F.size(items) == 2, items[0])
+
+
+def is_json(text: Column) -> Column:
+    """Is the text one JSON value and nothing else? Null text is not."""
+    wrapped = _wrapped(text)
+    second, third = (F.try_variant_get(wrapped, f"$[{i}]", "variant") for i in (1, 2))
+    return second.isNotNull() & third.isNull()
 
 
 def as_number(value: Column) -> Column:

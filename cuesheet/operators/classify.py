@@ -47,11 +47,19 @@ SURE_ENOUGH = 0.45
 
 
 def _words_in(text: Column, words: Sequence[str]) -> Column:
-    hits = [F.contains(text, F.lit(w)).cast("int") for w in words]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
-    return total
+    """How many of the words the text contains.
+
+    Hangul words are only looked for in texts that hold Hangul.
+    """
+
+    def count(wanted: list[str]) -> Column:
+        if not wanted:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: F.contains(text, w)))
+
+    plain = [w for w in words if w.isascii()]
+    hangul = [w for w in words if not w.isascii()]
+    return count(plain) + F.when(text.rlike("[가-힣]"), count(hangul)).otherwise(0)
 
 
 def type_scores(items: DataFrame) -> DataFrame:

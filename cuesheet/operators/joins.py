@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.ordering import TIME_SLOT_SEC, last_seen, slots_covered, time_slot
+from cuesheet.ordering import TIME_SLOT_SEC, neighbours, slots_covered, time_slot
 
 FRAME_KEY = ("video_id", "ord")
 TOPIC_WINDOW_SEC = 3.0
@@ -146,9 +146,7 @@ def nearest(
             allowMissingColumns=True,
         )
     )
-    slot, order = time_slot("_t", width), ["_t", "_side"]
-    sided = last_seen(line, ["video_id"], order, slot, "_mark", "_before")
-    sided = last_seen(sided, ["video_id"], order, slot, "_mark", "_after", backward=True)
+    sided = neighbours(line, ["video_id"], ["_t", "_side"], time_slot("_t", width), "_mark")
 
     def candidate(side: str) -> Column:
         return F.when(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.timeline import cosine_distance, hamming
-from cuesheet.ordering import TIME_SLOT_SEC, last_seen, ord_slot, position, previous, time_slot
+from cuesheet.ordering import TIME_SLOT_SEC, largest_group, ord_slot, position, previous, time_slot
 from cuesheet.session import checkpointed
 
 MIN_SEGMENT_SEC = 5.0
@@ -57,49 +57,60 @@ def near_duplicate_runs(
     radius: int = NEAR_DUP_BITS,
     slot_sec: float = TIME_SLOT_SEC,
     fold_rows: int = FOLD_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Add ``run_id``: the position, in its recording, of the first frame of the frame's run.
+    """Add ``run_no``, the number of a frame's run in its recording, and ``n_runs``.
 
     A frame joins the run while its hash is within ``radius`` bits of the run's *first* frame,
-    so the walk cannot be written with ``lag``. Frames are numbered per recording and folded
-    in pieces of ``fold_rows``. The fold of one piece depends on the run left open by the
-    piece before it; pieces start from a guess and are folded again until no open run changes,
-    which is the exact answer because the first piece of a recording needs no guess.
+    so the walk cannot be written with ``lag``. Recordings of at most ``fold_rows`` frames are
+    folded as one array each; ``longest``, the size of the largest, is counted when not given.
+    If some are longer, frames are numbered and folded in pieces of ``fold_rows``. The fold of
+    a piece depends on the run left open by the piece before it; pieces start from a guess and
+    are folded again until no open run changes, which is the exact answer because the first
+    piece of a recording needs no guess.
     """
     known = frames.where(F.col("phash").isNotNull())
-    order = [F.col("timestamp_sec"), F.col("ord")]
-    placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
-    longest = (
-        known.groupBy("video_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    )
-    others = [c for c in known.columns if c not in ("video_id", "phash")]
-    items = F.struct(F.col("_pos").alias("pos"), F.col("phash").alias("hash"), *others)
-    pieces = (
-        placed.withColumn("_piece", F.floor(F.col("_pos") / fold_rows))
-        .groupBy("video_id", "_piece")
-        .agg(F.array_sort(F.collect_list(items)).alias("_items"))
-    )
+    others = [c for c in known.columns if c not in ("video_id", "phash", "timestamp_sec", "ord")]
+    row = F.struct("timestamp_sec", "ord", F.col("phash").alias("hash"), *others)
+    if longest is None:
+        longest = largest_group(known, ["video_id"])
     if longest <= fold_rows:
-        entered = pieces.withColumn("_entry", F.lit(None).cast("struct<hash:bigint,pos:bigint>"))
+        pieces = known.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("_items"))
+        folded = pieces.withColumn(
+            "_runs", _fold_runs(F.col("_items"), F.lit(None).cast(_RUN), radius)
+        ).withColumn("_n", F.element_at("_runs", -1) + 1)
     else:
-        entered = _settle(checkpointed(pieces), radius)
+        order = [F.col("timestamp_sec"), F.col("ord")]
+        placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
+        pieces = (
+            placed.withColumn("_piece", F.floor(F.col("_pos") / fold_rows))
+            .groupBy("video_id", "_piece")
+            .agg(F.array_sort(F.collect_list(row)).alias("_items"))
+        )
+        folded = _settle(checkpointed(pieces), radius)
     # The rows travel inside the folded array, so no join back is needed.
-    runs = _fold_runs(F.col("_items"), F.col("_entry"), radius)
-    return entered.select(
-        "video_id", F.explode(F.arrays_zip(F.col("_items").alias("row"), runs.alias("run"))).alias("_z")
+    return folded.select(
+        "video_id",
+        F.explode(F.arrays_zip(F.col("_items").alias("row"), F.col("_runs").alias("run"))).alias("_z"),
+        F.col("_n").alias("n_runs"),
     ).select(
         "video_id",
         F.col("_z.row.hash").alias("phash"),
-        *[F.col(f"_z.row.{c}").alias(c) for c in others],
-        F.col("_z.run").alias("run_id"),
+        *[F.col(f"_z.row.{c}").alias(c) for c in ("timestamp_sec", "ord", *others)],
+        F.col("_z.run").alias("run_no"),
+        "n_runs",
     )
 
 
+# The open run while folding: hash of its first frame, its number in the piece.
+_RUN = "struct<hash:bigint,no:bigint>"
+
+
 def _open_run(entry: Column, item: Column, radius: int) -> Column:
     """The run open after ``item``: ``entry`` itself or a new one begun by the item."""
     starts = entry.isNull() | (hamming(entry["hash"], item["hash"]) > radius)
-    fresh = F.struct(item["hash"].alias("hash"), item["pos"].alias("pos"))
-    return F.when(starts, fresh).otherwise(entry)
+    number = F.coalesce(entry["no"] + 1, F.lit(0).cast("bigint"))
+    return F.when(starts, F.struct(item["hash"].alias("hash"), number.alias("no"))).otherwise(entry)
 
 
 def _exit_run(items: Column, entry: Column, radius: int) -> Column:
@@ -107,39 +118,64 @@ def _exit_run(items: Column, entry: Column, radius: int) -> Column:
 
 
 def _fold_runs(items: Column, entry: Column, radius: int) -> Column:
-    """Run id of every item, in order."""
-    start = F.struct(entry.alias("run"), F.array().cast("array<bigint>").alias("ids"))
+    """Run number of every item, in order; runs are counted on from ``entry``."""
+    start = F.struct(entry.alias("run"), F.array().cast("array<bigint>").alias("numbers"))
 
     def step(acc: Column, item: Column) -> Column:
         run = _open_run(acc["run"], item, radius)
         return F.struct(
-            run.alias("run"), F.concat(acc["ids"], F.array(run["pos"])).alias("ids")
+            run.alias("run"), F.concat(acc["numbers"], F.array(run["no"])).alias("numbers")
         )
 
-    return F.aggregate(items, start, step, lambda acc: acc["ids"])
+    return F.aggregate(items, start, step, lambda acc: acc["numbers"])
 
 
 def _settle(pieces: DataFrame, radius: int) -> DataFrame:
-    """Find the run left open before each piece by folding until nothing changes."""
+    """Fold the pieces of long recordings, given that each starts in the run left open before it.
+
+    Only the summary of a piece, one row, takes part in the scan along its recording.
+    """
     along = Window.partitionBy("video_id").orderBy("_piece")
-    nothing = F.lit(None).cast("struct<hash:bigint,pos:bigint>")
-    exits = checkpointed(
-        pieces.select("video_id", "_piece", _exit_run(F.col("_items"), nothing, radius).alias("_exit"))
+    no_run = F.lit(None).cast(_RUN)
+    keys = ["video_id", "_piece"]
+    opened = checkpointed(
+        pieces.select(*keys, _exit_run(F.col("_items"), no_run, radius)["hash"].alias("_hash"))
     )
     while True:
-        entries = exits.select(
-            "video_id", "_piece", F.col("_exit").alias("_old"), F.lag("_exit").over(along).alias("_entry")
+        entries = opened.select(
+            *keys, F.col("_hash").alias("_old"), F.lag("_hash").over(along).alias("_entry")
         )
-        entered = pieces.join(entries, ["video_id", "_piece"])
-        folded = checkpointed(
-            entered.select(
-                "video_id", "_piece", "_old",
-                _exit_run(F.col("_items"), F.col("_entry"), radius).alias("_exit"),
-            )
+        # Run numbers of a piece start at -1 here: the entered run itself, if any, is not new.
+        entry = F.when(
+            F.col("_entry").isNotNull(),
+            F.struct(F.col("_entry").alias("hash"), F.lit(-1).cast("bigint").alias("no")),
         )
-        if folded.where(~F.col("_exit").eqNullSafe(F.col("_old"))).isEmpty():
-            return entered
-        exits = folded.drop("_old")
+        entered = pieces.join(entries, keys).withColumn("_start", entry)
+        left = checkpointed(
+            entered.select(*keys, "_old", "_entry", _exit_run(F.col("_items"), F.col("_start"), radius).alias("_exit"))
+        )
+        if left.where(F.col("_exit.hash") != F.col("_old")).isEmpty():
+            break
+        opened = left.select(*keys, F.col("_exit.hash").alias("_hash"))
+    # Number the runs over the whole recording: each piece begins _exit.no + 1 new ones.
+    begun = F.col("_exit.no") + 1
+    offsets = left.select(
+        *keys,
+        "_entry",
+        F.coalesce(
+            F.sum(begun).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_offset"),
+        F.sum(begun).over(Window.partitionBy("video_id")).alias("_n"),
+    )
+    numbered = F.when(
+        F.col("_entry").isNotNull(),
+        F.struct(F.col("_entry").alias("hash"), (F.col("_offset") - 1).alias("no")),
+    )
+    return (
+        pieces.join(offsets, keys)
+        .withColumn("_start", numbered)
+        .withColumn("_runs", _fold_runs(F.col("_items"), F.col("_start"), radius))
+    )
 
 
 FRAME_COLUMNS = (
@@ -154,13 +190,14 @@ def collapse_runs(runs: DataFrame) -> DataFrame:
         F.struct("quality_score", -F.col("timestamp_sec"), -F.col("ord")),
     )
     return (
-        runs.groupBy("video_id", "run_id")
+        runs.groupBy("video_id", "run_no")
         .agg(
             best.alias("_best"),
             F.min("t_start").alias("t_start"),
             F.max("t_end").alias("t_end"),
             F.bool_or("is_scene_boundary").alias("_boundary"),
             F.count(F.lit(1)).alias("run_size"),
+            F.max("n_runs").alias("n_runs"),
         )
         .select(
             "video_id",
@@ -169,56 +206,96 @@ def collapse_runs(runs: DataFrame) -> DataFrame:
             "t_start",
             "t_end",
             "run_size",
+            "run_no",
+            "n_runs",
         )
     )
 
 
-def even_cut_buckets(
-    frames: DataFrame, target: int = FRAME_TARGET, slot_sec: float = TIME_SLOT_SEC
-) -> DataFrame:
-    """Add ``bucket``: the frames of a recording split by position into ``target`` even parts.
+def even_bucket(pos: Column, n: Column, target: int) -> Column:
+    """Part of the even split a position falls in.
 
-    Part b holds positions ``[b*n//T, (b+1)*n//T)``; the remainder is spread, unlike ``ntile``.
-    A recording with at most ``target`` frames gets one part per frame.
+    Part b of T holds positions ``[b*n//T, (b+1)*n//T)``; the remainder is spread, unlike
+    ``ntile``. With at most T rows every row is its own part.
     """
     if target <= 0:
         raise ValueError("target must be positive")
+    part = F.floor(((pos + 1) * target - 1) / n).cast("bigint")
+    return F.when(n <= target, pos).otherwise(part)
+
+
+def even_cut_buckets(
+    frames: DataFrame, target: int = FRAME_TARGET, slot_sec: float = TIME_SLOT_SEC
+) -> DataFrame:
+    """Add ``bucket``: the frames of a recording split by position into ``target`` even parts."""
     order = [F.col("timestamp_sec"), F.col("ord")]
     numbered = position(
         frames, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos", "_n"
     )
-    part = F.expr(f"((_pos + 1) * {target} - 1) div _n").cast("bigint")
-    return numbered.withColumn(
-        "bucket", F.when(F.col("_n") <= target, F.col("_pos")).otherwise(part)
-    ).drop("_pos", "_n")
+    return numbered.withColumn("bucket", even_bucket(F.col("_pos"), F.col("_n"), target)).drop("_pos", "_n")
 
 
 def even_cut(
     frames: DataFrame, target: int = FRAME_TARGET, slot_sec: float = TIME_SLOT_SEC
 ) -> DataFrame:
     """The sharpest frame of every part (first on ties)."""
-    return _sharpest(even_cut_buckets(frames, target, slot_sec), ["video_id", "bucket"]).drop("bucket")
+    return _sharpest(even_cut_buckets(frames, target, slot_sec), ["video_id", "bucket"])
 
 
 def coverage_repair(merged: DataFrame, kept: DataFrame) -> DataFrame:
-    """For each tenth of the timeline lost by the cut, the sharpest merged frame in it."""
+    """For each tenth of the timeline lost by a cut, the sharpest merged frame in it."""
     best = _sharpest(merged, ["video_id", "section_index"])
     return best.join(kept.select("video_id", "section_index").distinct(), ["video_id", "section_index"], "left_anti")
 
 
+def cut_with_repair(bucketed: DataFrame) -> DataFrame:
+    """Even cut and coverage repair in one pass over rows that know their ``bucket``.
+
+    Each row enters two groups, its part and its tenth, and each group keeps its sharpest row,
+    map-side combined. A tenth without a kept row gives its own best back. Adds ``repaired``.
+    """
+    columns = [c for c in bucketed.columns if c not in ("video_id", "bucket")]
+    groups = F.array(
+        F.struct(F.lit("part").alias("by"), F.col("bucket").cast("bigint").alias("no")),
+        F.struct(F.lit("tenth").alias("by"), F.col("section_index").cast("bigint").alias("no")),
+    )
+    best = F.max_by(
+        F.struct(*columns), F.struct("quality_score", -F.col("timestamp_sec"), -F.col("ord"))
+    )
+    winners = (
+        bucketed.withColumn("_g", F.explode(groups))
+        .groupBy("video_id", "_g")
+        .agg(best.alias("_row"))
+    )
+    # At most one row per part and one per tenth are left of a recording.
+    part, tenth = (F.col("_g.by") == by for by in ("part", "tenth"))
+    tenths = winners.groupBy("video_id", F.col("_row.section_index").alias("_tenth")).agg(
+        F.collect_list(F.when(part, F.col("_row"))).alias("_kept"),
+        F.max(F.when(tenth, F.col("_row"))).alias("_best"),
+    )
+    lost = F.size("_kept") == 0
+    return tenths.select(
+        "video_id",
+        lost.alias("repaired"),
+        F.explode(F.when(lost, F.array("_best")).otherwise(F.col("_kept"))).alias("_row"),
+    ).select("video_id", "_row.*", "repaired")
+
+
 def downsample(
     frames: DataFrame,
     target: int = FRAME_TARGET,
     radius: int = NEAR_DUP_BITS,
     slot_sec: float = TIME_SLOT_SEC,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Merge near-duplicates, cut evenly over time, put lost tenths back."""
-    merged = collapse_runs(near_duplicate_runs(frames, radius, slot_sec))
-    kept = even_cut(merged, target, slot_sec)
-    repaired = coverage_repair(merged, kept)
-    return kept.withColumn("repaired", F.lit(False)).unionByName(
-        repaired.withColumn("repaired", F.lit(True))
-    )
+    """Merge near-duplicates, cut evenly over time, put lost tenths back.
+
+    Runs follow each other in time, so the number of a run is the position of its frame and
+    the cut needs no second numbering.
+    """
+    merged = collapse_runs(near_duplicate_runs(frames, radius, slot_sec, longest=longest))
+    bucket = even_bucket(F.col("run_no"), F.col("n_runs"), target)
+    return cut_with_repair(merged.withColumn("bucket", bucket)).drop("run_no", "n_runs")
 
 
 def _sharpest(frames: DataFrame, group: list[str]) -> DataFrame:
@@ -229,32 +306,28 @@ def _sharpest(frames: DataFrame, group: list[str]) -> DataFrame:
     return frames.groupBy(*group).agg(best.alias("_best")).select(*group, "_best.*").select(*frames.columns)
 
 
+NUMBERED_ID = r"^(?s)(.*?)(\d+)$"
+
+
 def longest_id_run(ids: DataFrame, key: list[str], slot_rows: int = 1 << 20) -> DataFrame:
     """Per ``key``: the longest stretch of consecutive integers behind a common prefix.
 
     ``ids`` has one ``node_id`` per row. Suffixes longer than 38 digits do not fit a decimal
-    and are reported in ``overlong`` instead.
+    and are counted in ``overlong`` instead.
     """
-    parts = ids.select(
+    numbered = ids.select(
         *key,
-        F.regexp_extract("node_id", r"^(?s)(.*?)(\d+)$", 1).alias("_prefix"),
-        F.regexp_extract("node_id", r"^(?s)(.*?)(\d+)$", 2).alias("_digits"),
-    )
-    numbered = parts.where(F.col("_digits") != "").withColumn(
-        "_n", F.expr("try_cast(_digits AS decimal(38,0))")
+        F.regexp_extract("node_id", NUMBERED_ID, 1).alias("_prefix"),
+        F.regexp_extract("node_id", NUMBERED_ID, 2).alias("_digits"),
+    ).where("_digits <> ''").withColumn("_n", F.expr("try_cast(_digits AS decimal(38,0))"))
+    distinct = numbered.select(*key, "_prefix", "_n").distinct()
+    # Consecutive numbers keep the same distance to their rank.
+    ranked = position(
+        distinct.where("_n is not null"), [*key, "_prefix"], [F.col("_n")], F.floor(F.col("_n") / slot_rows), "_pos"
     )
-    distinct = numbered.where(F.col("_n").isNotNull()).select(*key, "_prefix", "_n").distinct()
-    # An island starts where the predecessor is missing; its length is the distance to its end.
-    previous_n = previous(
-        distinct, [*key, "_prefix"], ["_n"], F.floor(F.col("_n") / slot_rows), {"_before": "_n"}
+    lengths = ranked.groupBy(*key, "_prefix", (F.col("_n") - F.col("_pos")).alias("_island")).agg(
+        F.count(F.lit(1)).alias("_length")
     )
-    starts = previous_n.withColumn(
-        "_start", F.when(F.col("_before").isNull() | (F.col("_n") != F.col("_before") + 1), F.col("_n"))
-    )
-    islands = last_seen(
-        starts, [*key, "_prefix"], ["_n"], F.floor(F.col("_n") / slot_rows), "_start", "_island"
-    )
-    lengths = islands.groupBy(*key, "_prefix", "_island").agg(F.count(F.lit(1)).alias("_length"))
     longest = lengths.groupBy(*key).agg(F.max("_length").alias("longest_run"))
     overlong = numbered.groupBy(*key).agg(F.count_if(F.col("_n").isNull()).alias("overlong"))
     return overlong.join(longest, key, "left").select(
@@ -262,6 +335,30 @@ def longest_id_run(ids: DataFrame, key: list[str], slot_rows: int = 1 << 20) ->
     )
 
 
+def longest_run_in(ids: Column) -> Column:
+    """The same for the ids of one array, as an expression: no row leaves its task."""
+    parts = F.transform(
+        ids,
+        lambda i: F.struct(
+            F.regexp_extract(i, NUMBERED_ID, 1).alias("prefix"),
+            F.regexp_extract(i, NUMBERED_ID, 2).try_cast("decimal(38,0)").alias("n"),
+        ),
+    )
+    ordered = F.array_sort(F.array_distinct(F.filter(parts, lambda p: p["n"].isNotNull())))
+    start = F.struct(
+        F.lit(None).cast("struct<prefix:string,n:decimal(38,0)>").alias("last"),
+        F.lit(0).alias("run"),
+        F.lit(0).alias("best"),
+    )
+
+    def step(acc: Column, p: Column) -> Column:
+        goes_on = (acc["last"]["prefix"] == p["prefix"]) & (acc["last"]["n"] + 1 == p["n"])
+        run = F.when(F.coalesce(goes_on, F.lit(False)), acc["run"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["best"])
+
+
 def cap_per_recording(frames: DataFrame, cap: int = SLIDE_CAP) -> DataFrame:
     """First ``cap`` slides per recording, in order."""
     in_order = Window.partitionBy("video_id").orderBy("timestamp_sec", "ord")

@@ -101,52 +101,47 @@ def previous(
     )
 
 
-def last_seen(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
-    value: str,
-    out: str,
-    backward: bool = False,
+def neighbours(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], slot: Column, value: str
 ) -> DataFrame:
-    """Add the nearest non-null ``value`` at or before each row (at or after if ``backward``).
-
-    ``order`` names plain columns; both directions read them in the same ascending order.
+    """Add ``_before`` and ``_after``: the nearest non-null ``value`` at or before, and at or
+    after, each row of the group. ``order`` names plain columns.
     """
     keys = list(group)
-
-    def along(*columns: str) -> list[Column]:
-        return [F.col(c).desc() if backward else F.col(c).asc() for c in columns]
-
+    up = [F.col(c).asc() for c in order]
+    down = [F.col(c).desc() for c in order]
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    earlier = (Window.unboundedPreceding, -1)
     slotted = df.withColumn("_slot", slot)
-    within = (
-        Window.partitionBy(*keys, "_slot")
-        .orderBy(*along(*order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = slotted.withColumn("_seen", F.last(value, ignorenulls=True).over(within))
-    pick = F.min_by if backward else F.max_by
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(*along("_slot"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_slot")
+    local = slotted.withColumns(
+        {
+            "_up": F.last(value, ignorenulls=True).over(inside.orderBy(*up).rowsBetween(*to_here)),
+            "_down": F.last(value, ignorenulls=True).over(inside.orderBy(*down).rowsBetween(*to_here)),
+        }
     )
-    tails = (
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    along = Window.partitionBy(*keys)
+    edges = (
         slotted.groupBy(*keys, "_slot")
-        .agg(pick(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_edge"))
-        .withColumn("_carried", F.last("_edge", ignorenulls=True).over(before))
+        .agg(F.max_by(value, known).alias("_last"), F.min_by(value, known).alias("_first"))
+        .select(
+            *keys,
+            "_slot",
+            F.last("_last", ignorenulls=True).over(along.orderBy(F.asc("_slot")).rowsBetween(*earlier)).alias("_below"),
+            F.last("_first", ignorenulls=True).over(along.orderBy(F.desc("_slot")).rowsBetween(*earlier)).alias("_above"),
+        )
     )
-    return (
-        local.join(tails.drop("_edge"), [*keys, "_slot"])
-        .withColumn(out, F.coalesce("_seen", "_carried"))
-        .drop("_slot", "_seen", "_carried")
+    return local.join(edges, [*keys, "_slot"]).select(
+        *df.columns,
+        F.coalesce("_up", "_below").alias("_before"),
+        F.coalesce("_down", "_above").alias("_after"),
     )
 
 
-def first_by(columns: Sequence[str], key: Column) -> Column:
-    """Aggregate: the row (as a struct of ``columns``) with the smallest ``key``."""
-    return F.min_by(F.struct(*columns), key)
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group: one narrow, map-side combined aggregation."""
+    return df.groupBy(*group).count().agg(F.max("count").alias("n")).first()["n"] or 0
 
 
 def _col(column: Column | str) -> Column:

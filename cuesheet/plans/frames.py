@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import timeline
 from cuesheet.operators import generators, ranking, windows
 from cuesheet.operators.joins import best_overlap
-from cuesheet.ordering import position, time_slot
+from cuesheet.ordering import largest_group, position, time_slot
 from cuesheet.plans.bindings import (
     RADIUS,
     SLOT_SEC,
@@ -40,27 +40,27 @@ def _numbered(spark, folder, source=frames):
 _RUNS = f""", placed AS (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec, ord) - 1 AS pos FROM frames),
 walk AS (
-  SELECT video_id, pos, phash AS rep, 0::BIGINT AS run_id FROM placed WHERE pos = 0
+  SELECT video_id, pos, phash AS rep, 0::BIGINT AS run_no FROM placed WHERE pos = 0
   UNION ALL
   SELECT p.video_id, p.pos,
          CASE WHEN bit_count(xor(w.rep, p.phash)) > {RADIUS} THEN p.phash ELSE w.rep END,
-         CASE WHEN bit_count(xor(w.rep, p.phash)) > {RADIUS} THEN p.pos ELSE w.run_id END
+         CASE WHEN bit_count(xor(w.rep, p.phash)) > {RADIUS} THEN w.run_no + 1 ELSE w.run_no END
   FROM walk w JOIN placed p ON p.video_id = w.video_id AND p.pos = w.pos + 1),
-runs AS (SELECT p.*, w.run_id FROM placed p JOIN walk w ON p.video_id = w.video_id AND p.pos = w.pos)"""
+runs AS (SELECT p.*, w.run_no FROM placed p JOIN walk w ON p.video_id = w.video_id AND p.pos = w.pos)"""
 
 _MERGED = (
     _RUNS
     + """, spans AS (
-  SELECT video_id, run_id, min(t_start) AS t_start, max(t_end) AS t_end,
+  SELECT video_id, run_no, min(t_start) AS t_start, max(t_end) AS t_end,
          bool_or(is_scene_boundary) AS is_scene_boundary, count(*) AS run_size
-  FROM runs GROUP BY video_id, run_id),
+  FROM runs GROUP BY video_id, run_no),
 best AS (
   SELECT * FROM runs QUALIFY row_number() OVER (
-    PARTITION BY video_id, run_id ORDER BY quality_score DESC, timestamp_sec, ord) = 1),
+    PARTITION BY video_id, run_no ORDER BY quality_score DESC, timestamp_sec, ord) = 1),
 merged AS (
   SELECT b.video_id, b.ord, b.timestamp_sec, b.section_index, b.quality_score, s.is_scene_boundary,
          s.t_start, s.t_end, s.run_size
-  FROM best b JOIN spans s ON b.video_id = s.video_id AND b.run_id = s.run_id)"""
+  FROM best b JOIN spans s ON b.video_id = s.video_id AND b.run_no = s.run_no)"""
 )
 
 
@@ -96,8 +96,21 @@ _DOWNSAMPLED = (
 )
 
 
+def _longest(spark, folder):
+    """Frames of the longest recording, read from one column."""
+    return largest_group(events(spark, folder), ["user_id"])
+
+
 def _runs(spark, folder):
-    return windows.near_duplicate_runs(frames(spark, folder), RADIUS, SLOT_SEC)
+    return windows.near_duplicate_runs(
+        frames(spark, folder), RADIUS, SLOT_SEC, longest=_longest(spark, folder)
+    )
+
+
+def _downsampled(spark, folder):
+    return windows.downsample(
+        frames(spark, folder), TARGET, RADIUS, SLOT_SEC, longest=_longest(spark, folder)
+    )
 
 
 def _merged(spark, folder):
@@ -106,10 +119,10 @@ def _merged(spark, folder):
 
 @query(
     "w2_near_duplicate_runs",
-    ctes("frames", _RUNS + " SELECT video_id, ord, phash, run_id FROM runs", recursive=True),
+    ctes("frames", _RUNS + " SELECT video_id, ord, phash, run_no FROM runs", recursive=True),
 )
 def w2(spark, folder):
-    return _runs(spark, folder).select("video_id", "ord", "phash", "run_id")
+    return _runs(spark, folder).select("video_id", "ord", "phash", "run_no")
 
 
 @query("a1_collapse_runs", ctes("frames", _MERGED + " SELECT * FROM merged", recursive=True))
@@ -137,16 +150,14 @@ def w3(spark, folder):
     ),
 )
 def w4(spark, folder):
-    merged = _merged(spark, folder)
-    kept = windows.even_cut(merged, TARGET, SLOT_SEC)
-    return windows.coverage_repair(merged, kept).select(
+    return _downsampled(spark, folder).where("repaired").select(
         "video_id", "section_index", "ord", "quality_score"
     )
 
 
 @query("w5_downsample", ctes("frames", _DOWNSAMPLED + " SELECT * FROM downsampled", recursive=True))
 def w5(spark, folder):
-    return windows.downsample(frames(spark, folder), TARGET, RADIUS, SLOT_SEC).select(
+    return _downsampled(spark, folder).select(
         *_COLUMNS.split(", "), "repaired"
     )
 
@@ -162,7 +173,7 @@ def w5(spark, folder):
     ),
 )
 def u2(spark, folder):
-    frame = windows.downsample(frames(spark, folder), TARGET, RADIUS, SLOT_SEC)
+    frame = _downsampled(spark, folder)
     return frame.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.count_if("repaired").alias("n_repaired"),
@@ -188,7 +199,7 @@ FROM paired QUALIFY row_number() OVER (
     ),
 )
 def w5_with_section(spark, folder):
-    kept = windows.downsample(frames(spark, folder), TARGET, RADIUS, SLOT_SEC)
+    kept = _downsampled(spark, folder)
     return best_overlap(kept, sections(spark, folder), DAY).select(
         "video_id", "ord", "timestamp_sec", "t_start", "t_end", "run_size", "repaired",
         "overlap_section", F.round("overlap_sec", 6).alias("overlap_sec"),
@@ -234,12 +245,9 @@ fills AS (
 
 def _scenes(spark, folder):
     """Scenes of up to a few minutes, from one scene boundary of a recording to the next."""
-    from cuesheet.ordering import last_seen
-
     cuts = frames(spark, folder).where("is_scene_boundary").select(
         "video_id", "ord", "timestamp_sec", "duration"
     )
-    # The next cut: every cut read backwards sees the one after it, one step on.
     steps = position(
         cuts, ["video_id"], [F.col("timestamp_sec"), F.col("ord")], time_slot("timestamp_sec", SLOT_SEC), "pos"
     )

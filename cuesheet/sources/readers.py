@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.functions.structs import strict_json
+from cuesheet.functions.structs import is_json
 from cuesheet.operators.ranking import strongest_boxes
 
 SEGMENTS = "array<struct<from_sec:double,to_sec:double,text:string>>"
@@ -86,7 +86,7 @@ def parse_json(texts: DataFrame, schema: str, column: str = "raw") -> tuple[Data
 
     A field of the wrong type reads as null, so checks on required fields catch it.
     """
-    parsed = texts.withColumn("doc", F.when(strict_json(F.col(column)).isNotNull(), F.from_json(column, schema)))
+    parsed = texts.withColumn("doc", F.when(is_json(F.col(column)), F.from_json(column, schema)))
     return parsed.where("doc is not null"), parsed.where("doc is null").drop("doc")
 
 
