@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# The Python functions below travel to the executors inside the plan, so the package need not
+# be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Wording that points at the source recording instead of the subject, removed
 # from deck text.
 PROVENANCE = (
