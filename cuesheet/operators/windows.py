@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +19,10 @@ TOPIC_DISTANCE = 0.30
 NEAR_DUP_BITS = 10
 FRAME_TARGET = 60
 SLIDE_CAP = 20
-# Rows folded as one array. Groups up to this size need a single fold, longer ones are
-# folded piece by piece.
+# Recordings up to this size are folded as one array.
 FOLD_ROWS = 512
+# Frames of a longer recording walked by one task.
+PIECE_ROWS = 250_000
 
 
 def long_segments(captions: DataFrame, min_sec: float = MIN_SEGMENT_SEC) -> DataFrame:
@@ -56,43 +62,34 @@ def near_duplicate_runs(
     frames: DataFrame,
     radius: int = NEAR_DUP_BITS,
     slot_sec: float = TIME_SLOT_SEC,
-    fold_rows: int = FOLD_ROWS,
     longest: int | None = None,
+    fold_rows: int = FOLD_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add ``run_no``, the number of a frame's run in its recording, and ``n_runs``.
 
     A frame joins the run while its hash is within ``radius`` bits of the run's *first* frame,
-    so the walk cannot be written with ``lag``. Recordings of at most ``fold_rows`` frames are
-    folded as one array each; ``longest``, the size of the largest, is counted when not given.
-    If some are longer, frames are numbered and folded in pieces of ``fold_rows``. The fold of
-    a piece depends on the run left open by the piece before it; pieces start from a guess and
-    are folded again until no open run changes, which is the exact answer because the first
-    piece of a recording needs no guess.
+    so the walk cannot be written with ``lag``. When no recording has more than ``fold_rows``
+    frames (``longest`` is counted when not given) each is folded as one array; otherwise
+    recordings are walked in pieces, see ``_walk_pieces``.
     """
     known = frames.where(F.col("phash").isNotNull())
-    others = [c for c in known.columns if c not in ("video_id", "phash", "timestamp_sec", "ord")]
-    row = F.struct("timestamp_sec", "ord", F.col("phash").alias("hash"), *others)
     if longest is None:
         longest = largest_group(known, ["video_id"])
-    if longest <= fold_rows:
-        pieces = known.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("_items"))
-        folded = pieces.withColumn(
-            "_runs", _fold_runs(F.col("_items"), F.lit(None).cast(_RUN), radius)
-        ).withColumn("_n", F.element_at("_runs", -1) + 1)
-    else:
-        order = [F.col("timestamp_sec"), F.col("ord")]
-        placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
-        pieces = (
-            placed.withColumn("_piece", F.floor(F.col("_pos") / fold_rows))
-            .groupBy("video_id", "_piece")
-            .agg(F.array_sort(F.collect_list(row)).alias("_items"))
-        )
-        folded = _settle(checkpointed(pieces), radius)
+    if longest > fold_rows:
+        return _walk_pieces(known, radius, slot_sec, piece_rows)
+    others = [c for c in known.columns if c not in ("video_id", "phash", "timestamp_sec", "ord")]
+    row = F.struct("timestamp_sec", "ord", F.col("phash").alias("hash"), *others)
+    folded = (
+        known.groupBy("video_id")
+        .agg(F.array_sort(F.collect_list(row)).alias("_items"))
+        .withColumn("_runs", _fold_runs(F.col("_items"), radius))
+    )
     # The rows travel inside the folded array, so no join back is needed.
     return folded.select(
         "video_id",
         F.explode(F.arrays_zip(F.col("_items").alias("row"), F.col("_runs").alias("run"))).alias("_z"),
-        F.col("_n").alias("n_runs"),
+        (F.element_at("_runs", -1) + 1).alias("n_runs"),
     ).select(
         "video_id",
         F.col("_z.row.hash").alias("phash"),
@@ -102,79 +99,113 @@ def near_duplicate_runs(
     )
 
 
-# The open run while folding: hash of its first frame, its number in the piece.
-_RUN = "struct<hash:bigint,no:bigint>"
-
-
-def _open_run(entry: Column, item: Column, radius: int) -> Column:
-    """The run open after ``item``: ``entry`` itself or a new one begun by the item."""
-    starts = entry.isNull() | (hamming(entry["hash"], item["hash"]) > radius)
-    number = F.coalesce(entry["no"] + 1, F.lit(0).cast("bigint"))
-    return F.when(starts, F.struct(item["hash"].alias("hash"), number.alias("no"))).otherwise(entry)
-
-
-def _exit_run(items: Column, entry: Column, radius: int) -> Column:
-    return F.aggregate(items, entry, lambda run, item: _open_run(run, item, radius))
-
-
-def _fold_runs(items: Column, entry: Column, radius: int) -> Column:
-    """Run number of every item, in order; runs are counted on from ``entry``."""
-    start = F.struct(entry.alias("run"), F.array().cast("array<bigint>").alias("numbers"))
+def _fold_runs(items: Column, radius: int) -> Column:
+    """Run number of every item, in order."""
+    start = F.struct(
+        F.lit(None).cast("bigint").alias("first"),
+        F.lit(-1).cast("bigint").alias("no"),
+        F.array().cast("array<bigint>").alias("numbers"),
+    )
 
     def step(acc: Column, item: Column) -> Column:
-        run = _open_run(acc["run"], item, radius)
+        starts = acc["first"].isNull() | (hamming(acc["first"], item["hash"]) > radius)
+        number = F.when(starts, acc["no"] + 1).otherwise(acc["no"])
         return F.struct(
-            run.alias("run"), F.concat(acc["numbers"], F.array(run["no"])).alias("numbers")
+            F.when(starts, item["hash"]).otherwise(acc["first"]).alias("first"),
+            number.alias("no"),
+            F.concat(acc["numbers"], F.array(number)).alias("numbers"),
         )
 
     return F.aggregate(items, start, step, lambda acc: acc["numbers"])
 
 
-def _settle(pieces: DataFrame, radius: int) -> DataFrame:
-    """Fold the pieces of long recordings, given that each starts in the run left open before it.
+def walk_runs(hashes: np.ndarray, entered: int | None, radius: int) -> tuple[np.ndarray, int]:
+    """Run number of each hash in order, and the first hash of the run left open.
 
-    Only the summary of a piece, one row, takes part in the scan along its recording.
+    Numbers start at 0; -1 marks hashes that still belong to the entered run.
     """
-    along = Window.partitionBy("video_id").orderBy("_piece")
-    no_run = F.lit(None).cast(_RUN)
+    bits = hashes.astype(np.int64).view(np.uint64)
+    numbers = np.empty(len(bits), dtype=np.int64)
+    first = None if entered is None else np.int64(entered).view(np.uint64)
+    at, number = 0, -1
+    while at < len(bits):
+        if first is None or np.bitwise_count(bits[at] ^ first) > radius:
+            first, number = bits[at], number + 1
+        # Look for the end of the run in blocks of growing size.
+        end, block = at + 1, 16
+        while end < len(bits):
+            far = np.flatnonzero(np.bitwise_count(bits[end : end + block] ^ first) > radius)
+            if far.size:
+                end += int(far[0])
+                break
+            end, block = min(len(bits), end + block), block * 2
+        numbers[at:end] = number
+        at = end
+    return numbers, int(first.view(np.int64))
+
+
+def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int) -> DataFrame:
+    """Runs of recordings of any length, walked in pieces of ``piece_rows`` frames.
+
+    The walk of a piece depends only on the run left open before it. All pieces are first
+    walked from a guess and then, while the run left open by some piece changes, walked again
+    from what the piece before left. The first piece of a recording needs no guess, so what
+    no longer changes is the exact answer; as walks fall into step at the first common run
+    start, that is mostly after one repeat. Pieces are balanced tasks, and only one row per
+    piece takes part in the scan along its recording.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keys = ["video_id", "_piece"]
-    opened = checkpointed(
-        pieces.select(*keys, _exit_run(F.col("_items"), no_run, radius)["hash"].alias("_hash"))
-    )
+    along = Window.partitionBy("video_id").orderBy("_piece")
+    order = [F.col("timestamp_sec"), F.col("ord")]
+    placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
+    pieces = checkpointed(placed.withColumn("_piece", F.floor(F.col("_pos") / piece_rows)))
+    video = known.schema["video_id"].dataType.simpleString()
+
+    def ends(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("_pos")
+        entry = piece["_entry"].iloc[0]
+        numbers, left = walk_runs(piece["phash"].to_numpy(), None if pd.isna(entry) else int(entry), radius)
+        return pd.DataFrame({"video_id": [key[0]], "_piece": [key[1]], "_exit": [left], "_begun": [int(numbers.max()) + 1]})
+
+    def numbered(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("_pos")
+        entry = piece["_entry"].iloc[0]
+        numbers, _ = walk_runs(piece["phash"].to_numpy(), None if pd.isna(entry) else int(entry), radius)
+        return piece.assign(_no=numbers)[columns]
+
+    def entered(state: DataFrame) -> DataFrame:
+        return state.select(*keys, F.lag("_exit").over(along).alias("_entry"), F.col("_exit").alias("_old"))
+
+    walked = f"video_id {video}, _piece bigint, _exit bigint, _begun bigint"
+    hashes = pieces.select(*keys, "_pos", "phash")
+    # The entry travels as text: a nullable 64-bit integer would become a float in pandas.
+    guess = hashes.withColumn("_entry", F.lit(None).cast("string"))
+    state = checkpointed(guess.groupBy(*keys).applyInPandas(ends, walked))
     while True:
-        entries = opened.select(
-            *keys, F.col("_hash").alias("_old"), F.lag("_hash").over(along).alias("_entry")
-        )
-        # Run numbers of a piece start at -1 here: the entered run itself, if any, is not new.
-        entry = F.when(
-            F.col("_entry").isNotNull(),
-            F.struct(F.col("_entry").alias("hash"), F.lit(-1).cast("bigint").alias("no")),
-        )
-        entered = pieces.join(entries, keys).withColumn("_start", entry)
-        left = checkpointed(
-            entered.select(*keys, "_old", "_entry", _exit_run(F.col("_items"), F.col("_start"), radius).alias("_exit"))
-        )
-        if left.where(F.col("_exit.hash") != F.col("_old")).isEmpty():
+        before = entered(state)
+        rows = hashes.join(before.select(*keys, F.col("_entry").cast("string")), keys)
+        after = checkpointed(rows.groupBy(*keys).applyInPandas(ends, walked))
+        changed = after.join(state.select(*keys, F.col("_exit").alias("_old")), keys).where("_exit <> _old")
+        settled = changed.isEmpty()
+        state = after
+        if settled:
             break
-        opened = left.select(*keys, F.col("_exit.hash").alias("_hash"))
-    # Number the runs over the whole recording: each piece begins _exit.no + 1 new ones.
-    begun = F.col("_exit.no") + 1
-    offsets = left.select(
+    offsets = state.select(
         *keys,
-        "_entry",
-        F.coalesce(
-            F.sum(begun).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-        F.sum(begun).over(Window.partitionBy("video_id")).alias("_n"),
-    )
-    numbered = F.when(
-        F.col("_entry").isNotNull(),
-        F.struct(F.col("_entry").alias("hash"), (F.col("_offset") - 1).alias("no")),
+        F.lag("_exit").over(along).cast("string").alias("_entry"),
+        F.coalesce(F.sum("_begun").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_begun").over(Window.partitionBy("video_id")).alias("n_runs"),
     )
+    full = pieces.join(offsets, keys)
+    columns = [*known.columns, "_offset", "n_runs", "_no"]
+    types = {f.name: f.dataType.simpleString() for f in full.schema}
+    schema = ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in columns)
     return (
-        pieces.join(offsets, keys)
-        .withColumn("_start", numbered)
-        .withColumn("_runs", _fold_runs(F.col("_items"), F.col("_start"), radius))
+        full.groupBy(*keys)
+        .applyInPandas(numbered, schema)
+        .withColumn("run_no", F.col("_no") + F.col("_offset"))
+        .drop("_no", "_offset")
     )
 
 

@@ -298,12 +298,27 @@ def _diagram_replies(spark, folder):
     )
 
 
-@query("r3_salvage_truncated")
+# A cut reply keeps its complete nodes; each ends in the only quote-brace of its text.
+_CUT = r"""WITH shaped AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 8 = 0 THEN o_custkey % 40 + 1 ELSE o_custkey % 9 + 1 END AS n,
+    CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END AS step FROM orders),
+listed AS (SELECT *, list_transform(range(1, n + 1), lambda i: '{"id":"Q' || (k + i * step) || '","label":"a \"b\" ]"}') AS nodes FROM shaped),
+full_text AS (SELECT *, '{"kind":"diagram","struct":{"nodes":[' || array_to_string(nodes, ',') || ']}}' AS body FROM listed),
+cut AS (SELECT *, CASE WHEN k % 3 = 0 THEN body ELSE left(body, length(body) - 1 - k % 37) END AS raw FROM full_text),
+counted AS (SELECT *, (length(raw) - length(replace(raw, '"}', ''))) // 2 AS m FROM cut),
+salvaged AS (SELECT k AS reply_id, m, step, CASE WHEN k % 3 = 0 THEN 'complete' WHEN k % 3 = 1 AND m > 0 THEN 'salvaged' ELSE 'unreadable' END AS outcome,
+    CASE WHEN k % 3 = 0 THEN body WHEN k % 3 = 1 AND m > 0 THEN '{"kind":"diagram","struct":{"nodes":[' || array_to_string(nodes[1:m], ',') || ']}}' END AS doc FROM counted)
+"""
+
+
+@query("r3_salvage_truncated", _CUT + "SELECT reply_id, doc, outcome FROM salvaged")
 def r3(spark, folder):
     return replies.salvage_truncated(_diagram_replies(spark, folder))
 
 
-@query("r4_overgenerated")
+@query(
+    "r4_overgenerated",
+    _CUT + "SELECT reply_id, outcome, outcome = 'salvaged' AND (m > 30 OR (step = 1 AND m >= 6)) AS overgenerated FROM salvaged",
+)
 def r4(spark, folder):
     return replies.overgenerated(replies.salvage_truncated(_diagram_replies(spark, folder))).select(
         "reply_id", "outcome", "overgenerated"
