@@ -32,9 +32,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 def decile(t: Column, duration: Column) -> Column:
     """Tenth of the timeline a timestamp falls in; the end belongs to the last one."""
-    return F.when(duration <= 0, F.lit(0)).otherwise(
-        F.least((t / duration * F.lit(DECILES)).cast("int"), F.lit(DECILES - 1))
-    )
+    tenth = (t / duration * F.lit(DECILES)).cast("int")
+    last = F.lit(DECILES - 1)
+    return F.when(duration <= 0, F.lit(0)).when(tenth > last, last).otherwise(tenth)
 
 
 def minutes_seconds(seconds: Column) -> Column:

@@ -91,7 +91,7 @@ def with_forced_grabs(pool: DataFrame, points: DataFrame) -> DataFrame:
 
 def request_windows(requests: DataFrame, half_sec: float = REQUEST_HALF_SEC) -> DataFrame:
     """``requests(video_id, timestamps array<double>)`` to one closed window per timestamp."""
-    return requests.select("video_id", F.posexplode("timestamps").alias("request", "at")).select(
+    return requests.select("video_id", F.posexplode("timestamps").alias("request", "at")).where("at is not null").select(
         "video_id",
         F.col("request").cast("bigint").alias("request"),
         F.greatest(F.lit(0.0), F.col("at") - half_sec).alias("lo"),

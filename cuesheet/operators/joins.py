@@ -61,8 +61,10 @@ def best_overlap(frames: DataFrame, sections: DataFrame, width: float = TIME_SLO
     Touching counts as an overlap of zero; ties go to the earlier section.
     """
     overlap = F.least("t_end", "r.to_sec") - F.greatest("t_start", "r.from_sec")
+    # least and greatest skip nulls, so a frame without a section must be kept out first.
+    touches = F.col("r").isNotNull() & (overlap >= 0)
     best = F.max(
-        F.when(overlap >= 0, F.struct(overlap.alias("overlap"), (-F.col("r.index")).alias("rank")))
+        F.when(touches, F.struct(overlap.alias("overlap"), (-F.col("r.index")).alias("rank")))
     )
     hits = interval_best(frames, sections, ("t_start", "t_end"), ("from_sec", "to_sec"), best, width=width)
     return hits.select(
