@@ -60,7 +60,12 @@ def compose(text: Column) -> Column:
 
 def subject_text(text: Column) -> Column:
     """Deck text: composed, without provenance phrases, runs of blanks squeezed, trimmed."""
-    bare = F.regexp_replace(compose(text), PROVENANCE, "")
+    # Every provenance phrase holds one of these words, and looking for a word is much cheaper.
+    composed = compose(text)
+    holds = F.lit(False)
+    for word in ("영상", "강의", "강사", "구독"):
+        holds = holds | F.contains(composed, F.lit(word))
+    bare = F.when(holds, F.regexp_replace(composed, PROVENANCE, "")).otherwise(composed)
     squeezed = F.regexp_replace(bare, r"\s{2,}", " ")
     return F.coalesce(F.regexp_replace(squeezed, r"^\s+|\s+$", ""), F.lit(""))
 

@@ -34,21 +34,22 @@ def interval_best(
     not mind seeing a right row more than once, as min, max and any do not.
     """
     lo, hi = left_span
-    slot = (
-        time_slot(lo, width)
-        if lo == hi
-        else F.explode_outer(slots_covered(lo, hi, width))
-    )
     spread = right.select(
         "video_id",
         F.explode(slots_covered(*right_span, width)).alias("_slot"),
         F.struct(*right.columns).alias("r"),
     )
+    if lo == hi:
+        # A point has one slot, so grouping by it as well changes nothing but lets the
+        # aggregation reuse the partitioning of the join.
+        placed, group = left.withColumn("_slot", time_slot(lo, width)), [*key, "_slot"]
+    else:
+        covered = F.explode_outer(slots_covered(lo, hi, width))
+        placed, group = left.withColumn("_slot", covered), list(key)
     others = [c for c in left.columns if c not in key]
     return (
-        left.withColumn("_slot", slot)
-        .join(spread, ["video_id", "_slot"], "left")
-        .groupBy(*key)
+        placed.join(spread, ["video_id", "_slot"], "left")
+        .groupBy(*group)
         .agg(F.any_value(F.struct(*others)).alias("_row"), best.alias("_best"))
         .select(*key, "_row.*", "_best")
         .select(*left.columns, "_best")
