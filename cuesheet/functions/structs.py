@@ -6,6 +6,8 @@ read with fixed schemas; leaf values that may be number or text stay VARIANT.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,17 +34,24 @@ def _wrapped(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",true]")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, for parses used more than once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else, else null."""
     items = F.try_variant_get(_wrapped(text), "$", "array<variant>")
-    return F.when(F.size(items) == 2, items[0])
+    return once(items, lambda found: F.when(F.size(found) == 2, found[0]))
 
 
 def is_json(text: Column) -> Column:
     """Is the text one JSON value and nothing else? Null text is not."""
-    wrapped = _wrapped(text)
-    second, third = (F.try_variant_get(wrapped, f"$[{i}]", "variant") for i in (1, 2))
-    return second.isNotNull() & third.isNull()
+
+    def element(doc: Column, at: int) -> Column:
+        return F.try_variant_get(doc, f"$[{at}]", "variant")
+
+    return once(_wrapped(text), lambda doc: element(doc, 1).isNotNull() & element(doc, 2).isNull())
 
 
 def as_number(value: Column) -> Column:

@@ -169,8 +169,8 @@ def crop_reason(double_read: bool = True) -> Column:
     """
     box = clamped_box(*[F.col(c) for c in ("x", "y", "w", "h", "img_w", "img_h")])
     share = box["w"].cast("double") * box["h"] / (F.col("img_w").cast("double") * F.col("img_h"))
-    chart = F.from_json("struct", structs.CHART)
-    diagram = F.from_json("struct", structs.DIAGRAM)
+    flat_claim = structs.once(F.from_json("struct", structs.CHART), structs.chart_contradicts_insight)
+    sound = structs.once(F.from_json("struct", structs.DIAGRAM), structs.diagram_is_consistent)
     kind = F.col("kind")
     reason = (
         F.when(box.isNull(), "empty_crop")
@@ -183,8 +183,8 @@ def crop_reason(double_read: bool = True) -> Column:
         reason.when(
             F.col("confidence").isNull() | (F.col("confidence") < CONFIDENCE_FLOOR), "low_confidence"
         )
-        .when(structs.chart_contradicts_insight(chart), "chart_inconsistent")
-        .when(~structs.diagram_is_consistent(diagram), "diagram_inconsistent")
+        .when(flat_claim, "chart_inconsistent")
+        .when(~sound, "diagram_inconsistent")
     )
 
 

@@ -270,14 +270,14 @@ def _samples(spark, folder):
     ctes(
         "frames",
         _SCENES
-        + """ SELECT video_id, ord, sample, round(timestamp_sec, 7) AS timestamp_sec, round(t_end, 7) AS t_end,
+        + """ SELECT video_id, ord, sample, round(timestamp_sec, 3) AS timestamp_sec, round(t_end, 3) AS t_end,
                      is_scene_boundary FROM samples""",
     ),
 )
 def g1(spark, folder):
     return _samples(spark, folder).select(
-        "video_id", "ord", "sample", F.round("timestamp_sec", 7).alias("timestamp_sec"),
-        F.round("t_end", 7).alias("t_end"), "is_scene_boundary",
+        "video_id", "ord", "sample", F.round("timestamp_sec", 3).alias("timestamp_sec"),
+        F.round("t_end", 3).alias("t_end"), "is_scene_boundary",
     )
 
 

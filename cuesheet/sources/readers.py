@@ -57,12 +57,11 @@ def load_captions(captions: DataFrame, videos: DataFrame) -> tuple[DataFrame, Da
     chosen = (
         captions.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
         .join(videos, captions["video_id"] == videos["id"])
-        .select("caption_id", "external_id", "segments", F.from_json("segments", SEGMENTS).alias("_parsed"))
+        .select("caption_id", "external_id", "segments")
     )
-    good = chosen.where("_parsed is not null").select(
-        "external_id", F.posexplode("_parsed").alias("ord", "_s")
-    ).select("external_id", F.col("ord").cast("bigint").alias("ord"), "_s.*")
-    return good, chosen.where("_parsed is null").select("caption_id", "external_id", "segments")
+    parsed, bad = parse_json(chosen, SEGMENTS, "segments")
+    good = parsed.select("external_id", F.posexplode("doc").alias("ord", "_s"))
+    return good.select("external_id", F.col("ord").cast("bigint").alias("ord"), "_s.*"), bad
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -82,12 +81,14 @@ def read_json_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_json(texts: DataFrame, schema: str, column: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """``doc`` for readable rows; rows that are not JSON of that shape in quarantine.
+    """``doc`` for readable rows; rows that are not one JSON value in quarantine.
 
     A field of the wrong type reads as null, so checks on required fields catch it.
     """
-    parsed = texts.withColumn("doc", F.when(is_json(F.col(column)), F.from_json(column, schema)))
-    return parsed.where("doc is not null"), parsed.where("doc is null").drop("doc")
+    readable = is_json(F.col(column))
+    # Exploding an array of one keeps later filters from parsing every text again.
+    doc = F.array_compact(F.array(F.when(readable, F.from_json(column, schema))))
+    return texts.select("*", F.explode(doc).alias("doc")), texts.where(~readable)
 
 
 def parse_book_index(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +97,7 @@ def parse_book_index(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = good.select(
         "doc.collection_id", "doc.center_goal", F.posexplode("doc.segments").alias("pos", "_s")
     ).select("collection_id", "center_goal", "pos", "_s.*")
-    return rows, bad
+    return rows, bad.unionByName(good.where("doc.segments is null").drop("doc"))
 
 
 def sample_set(entries: DataFrame) -> DataFrame:
