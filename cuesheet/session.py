@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folder of each application that runs in local mode without a shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app_name: str = "cuesheet", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew-join splitting switched on.
 
@@ -20,6 +25,7 @@ def build_session(app_name: str = "cuesheet", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
@@ -29,21 +35,36 @@ def build_session(app_name: str = "cuesheet", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when neither
-    that setting nor a checkpoint folder of the context exists, as in tests, is a fresh
-    temporary folder used, and then only in local mode: elsewhere it would not be shared.
+    Only when that setting is unset, as in tests, is a fresh temporary folder used, and then
+    only in local mode: elsewhere executors would each write to a disk of their own.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
+        folder = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="cuesheet-"))
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-            folder = tempfile.mkdtemp(prefix="cuesheet-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, but columns stay prunable and a join of two stored
+    tables can be split where one key is hot. Tables live below a folder of the application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
