@@ -88,3 +88,26 @@ taken AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM sized JOIN aim USING (key) LEFT JOIN taken USING (key, doc_id)
 """
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {VISIBLE_WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+run AS (
+  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS k
+  FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+s AS (SELECT DISTINCT doc_id, k FROM run WHERE i <= greatest(n - 4, 1)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN size m ON m.doc_id = p.a JOIN size n ON n.doc_id = p.b
+  WHERE 100 * c >= 75 * (m.n + n.n - c)
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""

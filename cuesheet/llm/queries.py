@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, language, mixing, oracles, pii, quality, url_filter
+from cuesheet.llm import decontaminate, language, mixing, near_dedup, oracles, pii, quality, url_filter
 from cuesheet.llm.url_filter import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     judged = language.predict(docs.select("doc_id", "text"), model)
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     return judged.select("doc_id", held, "lang_pred", "score")
+
+
+@query("op2_near_duplicates", oracles.NEAR_DUPLICATES)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, folder, "documents"))
