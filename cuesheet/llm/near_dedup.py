@@ -193,7 +193,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     members = stored(bands.join(buckets.select("key", "pivot"), "key"))
     nodes = members.select(F.col("node").alias("_row")).distinct()
     sets = stored(full_sets(rows.select("_row", "text").join(nodes, "_row", "left_semi")))
-    labels = _joined(members, sets)
+    labels = joined_buckets(members, sets)
 
     grouped = classes.join(labels, "node", "left").select(
         "set_hash", F.coalesce("component", "node").alias("component")
@@ -209,7 +209,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return placed.join(names, "component").select("row", "doc_id", "n_shingles", "component_id", "first_row")
 
 
-def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
+def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Components ``(node, component)`` of the members ``(key, node, n, pivot)`` of buckets."""
     sizes = stored(members.select("node", "n").distinct())
     checked = _fitting(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sizes)

@@ -111,3 +111,37 @@ reach AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+PARAGRAPHS = r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents
+),
+d AS (
+  SELECT * FROM (SELECT doc_id, place, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines)
+  WHERE len(w) >= 20
+),
+pos AS (SELECT doc_id, place, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+run AS (
+  SELECT doc_id, place, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS k
+  FROM pos WINDOW o AS (PARTITION BY doc_id, place ORDER BY i)
+),
+sets AS (SELECT doc_id, place, list_sort(list_distinct(list(k))) AS s FROM run WHERE i <= n - 4 GROUP BY doc_id, place),
+class AS (SELECT s, row_number() OVER () AS c, len(s) AS n FROM (SELECT DISTINCT s FROM sets)),
+el AS (SELECT c, n, unnest(s) AS k FROM class),
+link AS (
+  SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS both FROM el x JOIN el y ON x.k = y.k AND x.c <> y.c GROUP BY ALL)
+  WHERE 100 * both >= 75 * (na + nb - both)
+),
+reach AS (SELECT c AS a, c AS b FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS c, min(b) AS m FROM reach GROUP BY a),
+gone AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY m ORDER BY doc_id, place) AS r FROM sets JOIN class USING (s) JOIN comp USING (c)
+  ) WHERE r > 1
+),
+cut AS (SELECT doc_id, count(*) AS n_removed, string_agg(place::VARCHAR, ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS t FROM lines ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_paragraphs,
+  coalesce(n_removed, 0)::BIGINT AS n_removed, removed, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text
+FROM documents LEFT JOIN cut USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, language, mixing, near_dedup, oracles, pii, quality, url_filter
+from cuesheet.llm import decontaminate, language, line_dedup, mixing, near_dedup, oracles
+from cuesheet.llm import paragraph_dedup, pii, quality, url_filter
 from cuesheet.llm.url_filter import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +90,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_near_duplicates", oracles.NEAR_DUPLICATES)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, folder, "documents"))
+
+
+@query("op3_paragraph_dedup", oracles.PARAGRAPHS)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    cut = paragraph_dedup.drop_repeated_paragraphs(load(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_paragraphs", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_dedup.drop_common_blocks(load(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")

@@ -13,3 +13,18 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     partitions whenever it is read: a table, or a stored or checkpointed result.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def without_lines(rows: DataFrame, gone: DataFrame, counted: str) -> DataFrame:
+    """Numbered ``rows`` with the lines at the places ``removed`` of ``gone (row, removed)`` cut
+    from ``text``; adds ``counted`` (lines before), ``n_removed`` and ``removed``."""
+    lines = F.split("text", "\n")
+    rest = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> not array_contains(removed, i)), '\n')")
+    joined = rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    return joined.withColumns(
+        {
+            counted: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+            "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("bigint"),
+            "text": F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest),
+        }
+    ).drop("_row")
