@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cuesheet.llm.rows import numbered, without_lines
 from cuesheet.session import stored
@@ -92,7 +93,7 @@ def aligned_lines(shared: list[dict], least_chars: int = LEAST_CHARS) -> list[in
     return sorted(gone)
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def _align(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([aligned_lines(x) for x in batch.to_pylist()], pa.list_(pa.int32()))

@@ -129,8 +129,8 @@ sets AS (SELECT doc_id, place, list_sort(list_distinct(list(k))) AS s FROM run W
 class AS (SELECT s, row_number() OVER () AS c, len(s) AS n FROM (SELECT DISTINCT s FROM sets)),
 el AS (SELECT c, n, unnest(s) AS k FROM class),
 link AS (
-  SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS both FROM el x JOIN el y ON x.k = y.k AND x.c <> y.c GROUP BY ALL)
-  WHERE 100 * both >= 75 * (na + nb - both)
+  SELECT a, b FROM (SELECT x.c AS a, y.c AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM el x JOIN el y ON x.k = y.k AND x.c <> y.c GROUP BY ALL)
+  WHERE 100 * shared >= 75 * (na + nb - shared)
 ),
 reach AS (SELECT c AS a, c AS b FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
 comp AS (SELECT a AS c, min(b) AS m FROM reach GROUP BY a),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, language, line_dedup, mixing, near_dedup, oracles
+from cuesheet.llm import decontaminate, language, line_dedup, mixing, near_dedup, neighbours, oracles
 from cuesheet.llm import paragraph_dedup, pii, quality, url_filter
 from cuesheet.llm.url_filter import Rule
 
@@ -102,3 +102,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     cut = line_dedup.drop_common_blocks(load(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(load(spark, folder, "embeddings"), every=100)
