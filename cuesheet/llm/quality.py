@@ -27,7 +27,7 @@ from cuesheet.llm.bytewords import LOWER, VISIBLE, find_words, mix, pieces
 # Bound of the labelled sample, and so of the broadcast: SAMPLE x RANK numbers.
 SAMPLE = 2_400
 RANK = 48
-NEIGHBOURS = 25
+NEIGHBOURS = 11
 SHAPES, TRIGRAMS, REPEATS = 512, 1_024, 8
 TERMS = SHAPES + TRIGRAMS + REPEATS
 # Documents compared at a time.
@@ -150,7 +150,7 @@ def vote(found: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.nd
         block = found[start : start + BLOCK]
         near = _unit(weighed(block, model.idf) @ model.axes) @ model.vectors.T
         best = np.argpartition(near, len(model.labels) - k, axis=1)[:, len(model.labels) - k :]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** 4
+        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** 8
         total = weight.sum(axis=1)
         share = (weight * (model.labels[best] > 0)).sum(axis=1) / np.where(total > 0, total, 1)
         some = (block.sum(axis=1) > 0) & (total > 0)
