@@ -38,8 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``links (a bigint, b bigint)``; the component is its
     least node.
 
-    Every round maps each node to the first of its closed neighbourhood in an order that is new in
-    each round after the first, and goes on with the links between the chosen nodes. So the
+    Every round maps each node to the first of its closed neighbourhood by number in the
+    first two rounds, then in an order that is new in each, and goes on with the links between the chosen nodes. So the
     number of rounds is logarithmic whatever the shape, and a round is one map-side combined
     aggregation and two joins, all of it on disk between rounds.
     """
@@ -49,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
         ends = at_hand.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             at_hand.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        order = (lambda c: F.col(c)) if not maps else (lambda c: F.xxhash64(c, F.lit(len(maps))))
+        order = (lambda c: F.col(c)) if len(maps) < 2 else (lambda c: F.xxhash64(c, F.lit(len(maps))))
         first = F.min(F.struct(order("other").alias("o"), F.col("other").alias("x")))
         own = F.struct(order("node").alias("o"), F.col("node").alias("x"))
         chosen = stored(

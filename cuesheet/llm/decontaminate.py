@@ -330,4 +330,4 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     rows = numbered(docs)
     index = build_index(rows.select(F.col("_row").alias("doc_id"), "text"))
     bad = _summary(index, items, size).where("contaminated").select(F.col("doc_id").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").drop("_row")
+    return rows.join(bad.hint("merge"), "_row", "left_anti").drop("_row")

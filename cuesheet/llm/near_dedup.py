@@ -8,9 +8,8 @@ two or three draws for each shingle instead of one for each component.
 
 Documents with the same set are one class. Classes that share a band of components meet in a
 bucket and are compared with its pivot on their full sets; links are joined to components. A
-bucket that still holds several components gets more pivots, ``PIVOTS`` at a time, until all its
-members have been compared or joined: exact for the bucket however large it is, and linear in its
-size in every round.
+bucket that still holds several components is worked off further, see ``joined_buckets``: in every
+round linear in its size, however large it is.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are kept;
 equal rows are linked; a component is named by its least id (nulls never name one if
@@ -38,8 +37,6 @@ BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
 # Shingles drawn for at a time beyond the first draw, which bounds the permutations held.
 DRAW = 1 << 17
-# Pivots of a bucket in a round after the first.
-PIVOTS = 64
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,8 +153,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
+        pairs.join(a.hint("merge"), "a")
+        .join(b.hint("merge"), "b")
         .select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).alias("_sum"))
         .where(F.col("_both") * 100 >= (F.col("_sum") - F.col("_both")) * SIMILAR_PERCENT)
         .select("a", "b")
@@ -192,8 +189,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
     members = stored(bands.join(buckets.select("key", "pivot"), "key"))
     nodes = members.select(F.col("node").alias("_row")).distinct()
-    sets = stored(full_sets(rows.select("_row", "text").join(nodes, "_row", "left_semi")))
-    labels = joined_buckets(members, sets)
+    sets = stored(full_sets(rows.select("_row", "text").join(nodes.hint("merge"), "_row", "left_semi")))
+    labels = joined_buckets(members, sets, reps)
 
     grouped = classes.join(labels, "node", "left").select(
         "set_hash", F.coalesce("component", "node").alias("component")
@@ -209,15 +206,24 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return placed.join(names, "component").select("row", "doc_id", "n_shingles", "component_id", "first_row")
 
 
-def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Components ``(node, component)`` of the members ``(key, node, n, pivot)`` of buckets."""
+def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """Components ``(node, component)`` of the members ``(key, node, n, pivot)`` of buckets.
+
+    ``bands (node, keys)`` holds all band keys of each node. Buckets are compared with one pivot,
+    those still mixed with another one of their own, which reaches what the first did not resemble.
+    What is mixed then mostly shares a passage and no more. Its members are dealt to
+    buckets of two common bands each, in which dissimilar sharers hardly ever meet again.
+    (A pair at the threshold has fewer than two common bands with probability 0.0001.) These
+    are worked off with one, four, sixteen and more pivots until none is mixed, so a bucket of n
+    members that resemble each other but not enough takes log n rounds and is compared in full.
+    """
     sizes = stored(members.select("node", "n").distinct())
     checked = _fitting(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sizes)
     links = stored(confirmed(checked, sets))
     labels = components(links)
     active = members.where("node <> pivot").select("key", "node")
+    pivots, nested = 1, False
     while True:
-        # Pivots are done with; a bucket goes on while its other members are in several components.
         left = stored(
             active.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         )
@@ -225,26 +231,48 @@ def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
         mixed = stored(mixed.where("_lo <> _hi").select("key"))
         if mixed.isEmpty():
             return labels
-        active = stored(left.join(mixed, "key"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = stored(active.withColumn("_place", place).where(F.col("_place") <= PIVOTS).drop("_place"))
-        other = pivots.select("key", F.col("node").alias("a"), F.col("component").alias("_a"))
-        pairs = active.join(other, "key").where("a < node and component <> _a").select("a", F.col("node").alias("b"))
-        fresh = stored(_fitting(pairs, sizes).join(checked, ["a", "b"], "left_anti"))
+        active = left.join(mixed, "key")
+        if pivots > 1 and not nested:
+            active = _nested(active, bands)
+            pivots, nested = 1, True
+        active = stored(active)
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
+        chosen = stored(active.withColumn("_place", place).where(F.col("_place") <= pivots).drop("_place"))
+        other = chosen.select("key", F.col("node").alias("_p"), F.col("component").alias("_c"))
+        pairs = active.join(other, "key").where("component <> _c").select(F.least("_p", "node").alias("a"), F.greatest("_p", "node").alias("b"))
+        fresh = _fitting(pairs, sizes, checked)
         more = stored(confirmed(fresh, sets))
-        checked = stored(checked.unionByName(fresh))
+        checked = checked.unionByName(fresh)
         if not more.isEmpty():
-            links = stored(links.unionByName(more))
+            links = links.unionByName(more)
             labels = components(links)
-        active = active.select("key", "node").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
+        active = active.select("key", "node").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        pivots *= 4
+
+
+def _nested(active: DataFrame, bands: DataFrame) -> DataFrame:
+    """Members of mixed buckets dealt to the buckets of every two bands they have, one of them
+    mixed; a bucket of one component is left out."""
+    at = "array_position(keys, key)"
+    others = f"transform(sequence(1, size(keys) div 2), d -> element_at(keys, cast(({at} - 1 + d) % size(keys) + 1 as int)))"
+    pairs = active.join(bands.select("node", "keys"), "node").select(
+        "node", "component", "key", F.explode(F.expr(others)).alias("_other")
+    )
+    both = F.xxhash64(F.least("key", "_other"), F.greatest("key", "_other"))
+    dealt = stored(pairs.select(both.alias("key"), "node", "component").distinct())
+    mixed = dealt.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    return dealt.join(stored(mixed.where("_lo <> _hi").select("key")), "key")
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of sets that are not too different in size to be similar."""
+def _fitting(pairs: DataFrame, sizes: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs ``(a, b)``, not in ``checked``, of sets whose sizes allow them to be similar."""
     a = sizes.select(F.col("node").alias("a"), F.col("n").alias("_na"))
     b = sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
     fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * SIMILAR_PERCENT
-    return stored(pairs.where("a <> b").distinct().join(a, "a").join(b, "b").where(fits).select("a", "b"))
+    fresh = pairs.where("a <> b").distinct()
+    if checked is not None:
+        fresh = fresh.join(checked, ["a", "b"], "left_anti")
+    return stored(fresh.join(a, "a").join(b, "b").where(fits).select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -252,4 +280,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     groups = _grouped(rows.select("_row", "doc_id", "text"))
     gone = groups.where("row <> first_row").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(gone.hint("merge"), "_row", "left_anti").drop("_row")

@@ -137,8 +137,10 @@ def repeated_paragraphs(rows: DataFrame) -> DataFrame:
         stored(shown.groupBy("node", "row").agg(F.min("place").alias("place"))), ["node", "row"]
     )
     wanted = stored(shown.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("place", "node")).alias("wanted")))
-    sets = stored(full_sets(rows.select("_row", "text").join(wanted, "_row")))
-    labels = joined_buckets(members, sets)
+    sets = stored(full_sets(rows.select("_row", "text").join(wanted.hint("merge"), "_row")))
+    # Copies of a paragraph have the same keys: one row of each node speaks for all.
+    keys = stored(sketch.select("node", "keys").join(nodes, "node").dropDuplicates(["node"]))
+    labels = joined_buckets(members, sets, keys)
 
     # Components of several paragraphs, one set with several copies included.
     placed = sketch.select("node", "row", "place").join(labels, "node", "left")
@@ -146,7 +148,7 @@ def repeated_paragraphs(rows: DataFrame) -> DataFrame:
     ids = rows.select(F.col("_row").alias("row"), "doc_id")
     several = stored(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"))
     repeated = stored(placed.join(several, "component"))
-    repeated = stored(repeated.join(ids, "row"))
+    repeated = stored(repeated.join(ids.hint("merge"), "row"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
     first = stored(repeated.groupBy("component").agg(F.min(order).alias("_f")))
     first = first.select("component", F.col("_f.row").alias("_first_row"), F.col("_f.place").alias("_first_place"))

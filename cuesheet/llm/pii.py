@@ -62,7 +62,7 @@ _BETWEEN = re.compile(rf"[\s,.-]+(?:({_POINT})\s+)?", re.I)
 _AT = re.compile(r"\s*[(\[{<]\s*(?:at|@|arroba|ät|chez)\s*[)\]}>]\s*", re.I)
 _DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]\s*", re.I)
 # A bare "at" counts only before a name, not an article, with a written-out point.
-_BARE_AT = re.compile(rf"(?<=\w)\s+at\s+(?!(?:the|a|an|this|that)\s)(?=[\w-]+(?:(?:\s+{_POINT}\s+|\s*[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]\s*|\.)[\w-]+)*\s+{_POINT}\s+[\w-])", re.I)
+_BARE_AT = re.compile(rf"(?<=\w)\s+at\s+(?!(?:the|a|an|this|that|his|her|its|their|our|your|my|some|any|every|no)\s)(?=[\w-]+(?:(?:\s+{_POINT}\s+|\s*[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]\s*|\.)[\w-]+)*\s+{_POINT}\s+[\w-])", re.I)
 _BARE_DOT = re.compile(rf"(?<=\w)\s+{_POINT}\s+(?=\w)", re.I)
 # Cheap signs that a text may hold a disguise at all.
 _FOREIGN = re.compile("[" + re.escape(_LIKE) + "​-‍⁠­﻿！-～٠-٩۰-۹①-⑳⁰-₉\U0001d400-\U0001d7ff]")

@@ -20,7 +20,9 @@ def without_lines(rows: DataFrame, gone: DataFrame, counted: str) -> DataFrame:
     from ``text``; adds ``counted`` (lines before), ``n_removed`` and ``removed``."""
     lines = F.split("text", "\n")
     rest = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> not array_contains(removed, i)), '\n')")
-    joined = rows.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    # Merged always: the cuts grow with the texts, and a plan that broadcasts them while they are
+    # few would turn over at some size.
+    joined = rows.join(gone.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
     return joined.withColumns(
         {
             counted: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
