@@ -130,7 +130,7 @@ def value_label(value: Column) -> Column:
     return (
         F.when(value == F.floor(value), F.floor(value).cast("string"))
         .when(
-            (size >= 10000) | (size < 0.0001),
+            (size >= 9999.5) | (size < 0.000099995),
             F.regexp_replace(F.format_string("%.3e", value), r"\.?0+e", "e"),
         )
         .otherwise(F.regexp_replace(plain, r"\.?0+$", ""))

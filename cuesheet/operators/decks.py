@@ -309,10 +309,14 @@ def deck_counts(sections: DataFrame, pages: DataFrame, figures: DataFrame) -> Da
     )
 
 
+# Fixed value: sections from which a deck shows a timeline.
+TIMELINE_SECTIONS = 3
+
+
 def narrative_arc(videos: DataFrame, sections: DataFrame, figures: DataFrame, atoms: DataFrame) -> DataFrame:
     """Steps of a deck told along its recording, in order.
 
-    Cover; timeline from two sections on; per section an intro, key points from two on, and its
+    Cover; timeline from three sections on; per section an intro, key points from two on, and its
     figures; up to four highlights; summary; a note when relevance is low.
     ``videos(video_id, relevance_pct)``, ``sections(video_id, index, n_key_points)``,
     ``figures(video_id, index, ord)``, ``atoms(video_id, ord)`` already picked.
@@ -327,7 +331,7 @@ def narrative_arc(videos: DataFrame, sections: DataFrame, figures: DataFrame, at
             F.lit(name).alias("step"),
         )
 
-    many = sections.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+    many = sections.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= TIMELINE_SECTIONS)
     index = F.col("index")
     branches = [
         step(videos, 0, "cover"),

@@ -132,11 +132,13 @@ def nearest(
 ) -> DataFrame:
     """Rank of the right row nearest in time to each left row; ties go to the lowest rank.
 
+    A left row without a time stays and gets null; right rows without a time are near to nothing.
+
     Both sides are laid on one time line and the neighbour on either side is carried to the
     left rows, so no pair of rows is ever formed.
     """
     others = [c for c in left.columns if c != "video_id"]
-    marks = right.groupBy("video_id", F.col(right_time).alias("_t")).agg(
+    marks = right.where(F.col(right_time).isNotNull()).groupBy("video_id", F.col(right_time).alias("_t")).agg(
         F.min(right_rank).alias("_rank")
     )
     line = (
@@ -153,7 +155,7 @@ def nearest(
 
     def candidate(side: str) -> Column:
         return F.when(
-            F.col(side).isNotNull(),
+            F.col(side).isNotNull() & F.col("_t").isNotNull(),
             F.struct(
                 F.abs(F.col(f"{side}.t") - F.col("_t")).alias("gap"),
                 F.col(f"{side}.rank").alias("rank"),

@@ -10,6 +10,8 @@ scanned along the group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +52,8 @@ def position(
     """Add the 0-based position of each row in its group (and the group size, if named).
 
     Equal to ``row_number() over (partition by group order by order) - 1``. ``slot`` must not
-    decrease along ``order``. Group columns must not be null.
+    decrease along ``order``; rows with a null order value are in a null slot, which comes first as
+    nulls do. Null group values are one group.
     """
     keys = list(group)
     slotted = df.withColumn("_slot", slot)
@@ -71,7 +74,7 @@ def position(
     if size:
         base = base.withColumn(size, F.sum("_rows").over(Window.partitionBy(*keys)))
     return (
-        local.join(base.drop("_rows"), [*keys, "_slot"])
+        _with_summary(local, base.drop("_rows"), [*keys, "_slot"])
         .withColumn(pos, (F.col("_before") + F.col("_local") - 1).cast("bigint"))
         .drop("_local", "_before", "_slot")
     )
@@ -94,7 +97,7 @@ def previous(
         .agg(F.max_by("_packed", F.struct(*order)).alias("_tail"))
         .withColumn("_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_slot")))
     )
-    joined = local.join(tails.drop("_tail"), [*keys, "_slot"])
+    joined = _with_summary(local, tails.drop("_tail"), [*keys, "_slot"])
     found = F.coalesce("_lag", "_carried")
     return joined.withColumns({new: found[new] for new in values}).drop(
         "_slot", "_packed", "_lag", "_carried"
@@ -132,7 +135,7 @@ def neighbours(
             F.last("_first", ignorenulls=True).over(along.orderBy(F.desc("_slot")).rowsBetween(*earlier)).alias("_above"),
         )
     )
-    return local.join(edges, [*keys, "_slot"]).select(
+    return _with_summary(local, edges, [*keys, "_slot"]).select(
         *df.columns,
         F.coalesce("_up", "_below").alias("_before"),
         F.coalesce("_down", "_above").alias("_after"),
@@ -144,5 +147,12 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return df.groupBy(*group).count().agg(F.max("count").alias("n")).first()["n"] or 0
 
 
+def _with_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their slot's ``summary``; null keys match null keys."""
+    there = summary.select(*[F.col(c).alias(f"_of_{c}" if c in keys else c) for c in summary.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return rows.join(there, reduce(and_, same)).drop(*[f"_of_{c}" for c in keys])
+
+
 def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.text import leaf_name, mask_video
@@ -59,8 +59,15 @@ def detach_figures(figures: DataFrame, decks: DataFrame) -> DataFrame:
 
 
 def unseen(new: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
-    """New rows whose natural key is not stored yet, each once: a rerun appends nothing."""
-    return new.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
+    """New rows whose natural key is not stored yet, each once: a rerun appends nothing.
+
+    Of rows with one key the first by ``ord``, then by the other columns, is the one on every run.
+    """
+    rest = [c for c in new.columns if c not in key]
+    order = [c for c in rest if c == "ord"] + [c for c in rest if c != "ord"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = new.withColumn("_place", place).where("_place = 1").drop("_place")
+    return first.join(existing.select(*key), list(key), "left_anti")
 
 
 def unseen_keyframes(new: DataFrame, existing: DataFrame) -> DataFrame:

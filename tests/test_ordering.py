@@ -56,3 +56,17 @@ def test_hot_group_is_split(rows):
     plan = position(rows, ["g"], [F.col("t")], time_slot("t", 50.0))._jdf.queryExecution().optimizedPlan().toString()
     row_window = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
     assert row_window and all("_slot" in line for line in row_window)
+
+
+def test_rows_without_order_value_or_group_stay(spark):
+    data = [("a", 0.0, 1, 5), ("a", None, 2, None), ("a", 9.0, 3, 7), (None, None, 4, 1), (None, 2.0, 5, 2), ("a", None, 6, 8)]
+    rows = spark.createDataFrame(data, "g string, t double, ord long, v long")
+    w = Window.partitionBy("g").orderBy("t", "ord")
+    slot = time_slot("t", 5.0)
+    got = {r.ord: r.pos for r in position(rows, ["g"], [F.col("t"), F.col("ord")], slot).collect()}
+    assert got == {r.ord: r.p - 1 for r in rows.withColumn("p", F.row_number().over(w)).collect()}
+    got = {r.ord: r.p for r in previous(rows, ["g"], ["t", "ord"], slot, {"p": "ord"}).collect()}
+    assert got == {r.ord: r.p for r in rows.withColumn("p", F.lag("ord").over(w)).collect()}
+    got = {r.ord: r._before for r in neighbours(rows, ["g"], ["t", "ord"], slot, "v").collect()}
+    before = F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    assert got == {r.ord: r.p for r in rows.withColumn("p", before).collect()}
