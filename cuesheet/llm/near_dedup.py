@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, mix, pieces, shingles
@@ -184,13 +184,10 @@ def _grouped(rows: DataFrame) -> DataFrame:
         sketch.select(F.col("row").alias("node"), "keys").join(classes.select("node", "n"), "node")
     )
     bands = reps.select("node", "n", F.explode("keys").alias("key"))
-    buckets = stored(
-        bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    )
-    members = stored(bands.join(buckets.select("key", "pivot"), "key"))
+    members = stored(bucket_members(bands))
     nodes = members.select(F.col("node").alias("_row")).distinct()
     sets = stored(full_sets(rows.select("_row", "text").join(nodes.hint("merge"), "_row", "left_semi")))
-    labels = joined_buckets(members, sets, reps)
+    labels = joined_buckets(members, sets)
 
     grouped = classes.join(labels, "node", "left").select(
         "set_hash", F.coalesce("component", "node").alias("component")
@@ -206,73 +203,98 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return placed.join(names, "component").select("row", "doc_id", "n_shingles", "component_id", "first_row")
 
 
-def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
-    """Components ``(node, component)`` of the members ``(key, node, n, pivot)`` of buckets.
+def bucket_members(bands: DataFrame) -> DataFrame:
+    """Rows ``(key, node, n)`` of keys with several nodes, with the least node as ``pivot``."""
+    least = F.min(F.struct("node", "n"))
+    buckets = bands.groupBy("key").agg(least.alias("_p"), F.max("node").alias("_other")).where("_p.node <> _other")
+    buckets = stored(buckets.select("key", F.col("_p.node").alias("pivot"), F.col("_p.n").alias("pivot_n")))
+    return bands.join(buckets, "key")
+
+
+def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components ``(node, component)`` of the members ``(key, node, n, pivot, pivot_n)`` of buckets.
 
-    ``bands (node, keys)`` holds all band keys of each node. Buckets are compared with one pivot,
-    those still mixed with another one of their own, which reaches what the first did not resemble.
-    What is mixed then mostly shares a passage and no more. Its members are dealt to
-    buckets of two common bands each, in which dissimilar sharers hardly ever meet again.
-    (A pair at the threshold has fewer than two common bands with probability 0.0001.) These
-    are worked off with one, four, sixteen and more pivots until none is mixed, so a bucket of n
-    members that resemble each other but not enough takes log n rounds and is compared in full.
+    Buckets are compared with one pivot, those still mixed with another one of their own, which
+    reaches what the first did not resemble. What is mixed then mostly shares a passage, or
+    its members resemble each other but not enough. They are dealt to buckets of the rare
+    shingles that similar sets must share, see ``_by_rare_shingles``, in which hardly any two below
+    the threshold are compared and no two above it are missed. These are worked off with one,
+    four, sixteen and more pivots until none is mixed.
     """
-    sizes = stored(members.select("node", "n").distinct())
-    checked = _fitting(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sizes)
+    others = members.where("node <> pivot")
+    fits = _reachable(F.col("n"), F.col("n"), F.col("pivot_n"), F.col("pivot_n"))
+    checked = stored(others.where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirmed(checked, sets))
     labels = components(links)
-    active = members.where("node <> pivot").select("key", "node")
-    pivots, nested = 1, False
+    active = others.select("key", "node", "n", F.col("n").alias("rest"))
+    pivots, dealt = 1, False
     while True:
         left = stored(
-            active.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+            active.join(labels, "node", "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
         )
-        mixed = left.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        mixed = stored(mixed.where("_lo <> _hi").select("key"))
-        if mixed.isEmpty():
-            return labels
-        active = left.join(mixed, "key")
-        if pivots > 1 and not nested:
-            active = _nested(active, bands)
-            pivots, nested = 1, True
+        active = _mixed(left)
+        if pivots > 1 and not dealt:
+            nodes = stored(active.select("node", "n", "component").distinct())
+            active = _mixed(_by_rare_shingles(nodes, sets))
+            pivots, dealt = 1, True
         active = stored(active)
+        if active.isEmpty():
+            return labels
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
         chosen = stored(active.withColumn("_place", place).where(F.col("_place") <= pivots).drop("_place"))
-        other = chosen.select("key", F.col("node").alias("_p"), F.col("component").alias("_c"))
-        pairs = active.join(other, "key").where("component <> _c").select(F.least("_p", "node").alias("a"), F.greatest("_p", "node").alias("b"))
-        fresh = _fitting(pairs, sizes, checked)
+        other = chosen.select("key", F.col("node").alias("_p"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("rest").alias("_rest"))
+        pairs = active.join(
+            other,
+            (active["key"] == other["key"])
+            & (F.col("component") != F.col("_c"))
+            & _reachable(F.col("rest"), F.col("n"), F.col("_rest"), F.col("_n")),
+        ).select(F.least("_p", "node").alias("a"), F.greatest("_p", "node").alias("b"))
+        fresh = stored(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
         more = stored(confirmed(fresh, sets))
         checked = checked.unionByName(fresh)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        active = active.select("key", "node").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        active = active.drop("component").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
         pivots *= 4
 
 
-def _nested(active: DataFrame, bands: DataFrame) -> DataFrame:
-    """Members of mixed buckets dealt to the buckets of every two bands they have, one of them
-    mixed; a bucket of one component is left out."""
-    at = "array_position(keys, key)"
-    others = f"transform(sequence(1, size(keys) div 2), d -> element_at(keys, cast(({at} - 1 + d) % size(keys) + 1 as int)))"
-    pairs = active.join(bands.select("node", "keys"), "node").select(
-        "node", "component", "key", F.explode(F.expr(others)).alias("_other")
+def _reachable(rest_a: Column, n_a: Column, rest_b: Column, n_b: Column) -> Column:
+    """Whether two sets that can have at most ``rest`` shingles in common can be similar enough."""
+    return F.least(rest_a, rest_b) * (100 + SIMILAR_PERCENT) >= (n_a + n_b) * SIMILAR_PERCENT
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members ``(key, node, n, rest, component)`` of buckets of several components, without those
+    that can be similar to nothing of the sizes there."""
+    mixed = members.groupBy("key").agg(
+        F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("n").alias("_least")
+    )
+    mixed = stored(mixed.where("_lo <> _hi").select("key", "_least"))
+    smallest = F.greatest("_least", F.ceil(F.col("n") * SIMILAR_PERCENT / 100))
+    return members.join(mixed, "key").where(_reachable(F.col("rest"), F.col("n"), F.col("rest"), smallest)).drop("_least")
+
+
+def _by_rare_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes ``(node, n, component)`` dealt to a bucket ``key`` for each of their rarest shingles.
+
+    Sets are sorted by the number of nodes with a shingle, then by the shingle. Of two similar
+    sets, the first shingle in common stands in both within the leading part that is returned,
+    and all they have in common lies from there on: ``rest`` is the length from it to the end. So
+    what changed in a copy, being rare, fills its leading part, and copies that changed too much
+    for each other meet nowhere or with too little left.
+    """
+    whole = sets.join(nodes.hint("merge"), "node")
+    shingle = whole.select("node", F.explode("set").alias("key"))
+    shared = stored(shingle.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    sorted_ = shingle.join(shared.hint("merge"), "key").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("df", "key"))).alias("_s")
     )
-    both = F.xxhash64(F.least("key", "_other"), F.greatest("key", "_other"))
-    dealt = stored(pairs.select(both.alias("key"), "node", "component").distinct())
-    mixed = dealt.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    return dealt.join(stored(mixed.where("_lo <> _hi").select("key")), "key")
-
-
-def _fitting(pairs: DataFrame, sizes: DataFrame, checked: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs ``(a, b)``, not in ``checked``, of sets whose sizes allow them to be similar."""
-    a = sizes.select(F.col("node").alias("a"), F.col("n").alias("_na"))
-    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
-    fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * SIMILAR_PERCENT
-    fresh = pairs.where("a <> b").distinct()
-    if checked is not None:
-        fresh = fresh.join(checked, ["a", "b"], "left_anti")
-    return stored(fresh.join(a, "a").join(b, "b").where(fits).select("a", "b"))
+    sorted_ = sorted_.join(nodes.hint("merge"), "node")
+    # A shingle of one node alone is left out of the list; it would stand before all others.
+    at = sorted_.select("node", "n", "component", F.size("_s").alias("_m"), F.posexplode("_s").alias("_at", "_x"))
+    at = at.select(F.col("_x.key").alias("key"), "node", "n", (F.col("_m") - F.col("_at")).cast("bigint").alias("rest"), "component")
+    return stored(at.where(F.col("rest") * 100 >= F.col("n") * SIMILAR_PERCENT))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, mix, pieces, shingles
-from cuesheet.llm.near_dedup import SHINGLE_WORDS, joined_buckets
+from cuesheet.llm.near_dedup import SHINGLE_WORDS, bucket_members, joined_buckets
 from cuesheet.llm.rows import numbered, without_lines
 from cuesheet.session import stored
 
@@ -128,9 +128,7 @@ def repeated_paragraphs(rows: DataFrame) -> DataFrame:
     """``(row, removed)``: places of the paragraphs to cut from rows ``(_row, doc_id, text)``."""
     sketch = stored(sketches(rows))
     bands = sketch.select("node", "n", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_other"))
-    buckets = stored(buckets.where("pivot <> _other").select("key", "pivot"))
-    members = stored(bands.join(buckets, "key").distinct())
+    members = stored(bucket_members(bands).distinct())
     nodes = stored(members.select("node").distinct())
     shown = sketch.select("node", "row", "place").join(nodes, "node")
     shown = stored(shown.groupBy("node").agg(F.min("row").alias("row"))).join(
@@ -138,9 +136,7 @@ def repeated_paragraphs(rows: DataFrame) -> DataFrame:
     )
     wanted = stored(shown.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("place", "node")).alias("wanted")))
     sets = stored(full_sets(rows.select("_row", "text").join(wanted.hint("merge"), "_row")))
-    # Copies of a paragraph have the same keys: one row of each node speaks for all.
-    keys = stored(sketch.select("node", "keys").join(nodes, "node").dropDuplicates(["node"]))
-    labels = joined_buckets(members, sets, keys)
+    labels = joined_buckets(members, sets)
 
     # Components of several paragraphs, one set with several copies included.
     placed = sketch.select("node", "row", "place").join(labels, "node", "left")
