@@ -28,13 +28,16 @@ def brute(docs):
     for _, t, *_ in docs:
         w = (t or "").lower().split()
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = []
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
     top = list(range(len(docs)))
     for _ in range(len(docs)):
-        for a in range(len(docs)):
-            for b in range(len(docs)):
-                both = len(sets[a] & sets[b])
-                if sets[a] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                    top[a] = top[b] = min(top[a], top[b])
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
     return top
 
 
@@ -53,6 +56,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_of_one_large_group_with_members_too_different(spark):
+    """Copies changed a little to a lot meet in the same buckets, linked or not."""
+    rnd = random.Random(3)
+    base = words(rnd, 150)
+    texts = [similar(rnd, base, k % 12) for k in range(96)]
+    docs = [(i, t, "x", 5) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    want = brute(docs)
+    assert 1 < len(set(want)) < len(docs)
+    assert [got[i] for i in range(len(docs))] == want
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     t = words(random.Random(2), 30)
     docs = spark.createDataFrame([(4, t, None, 1), (4, t, "a", 1), (None, t, "b", 2), (9, None, None, None), (None, "", None, 3)], DOC)
