@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from cuesheet.functions import text, timeline
 from cuesheet.operators import gates, jobs
 from cuesheet.plans.bindings import ctes, events, frames, job_events, job_events_of
 from cuesheet.plans.registry import load, query
+from cuesheet.session import shared_folder
 from cuesheet.sources import readers, sinks
 from cuesheet.streaming.jobs import read_job_state, start_job_state
 
@@ -40,22 +40,12 @@ def t1(spark, folder):
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
         .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     )
-    base = _shared_folder(spark)
+    base = f"{shared_folder(spark)}/job-state-{uuid.uuid4().hex}"
     started = start_job_state(job_events_of(stream), f"{base}/state", f"{base}/progress", available_now=True)
     started.awaitTermination()
     return read_job_state(spark.read.parquet(f"{base}/state"))
 
 
-def _shared_folder(spark) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if named:
-        return f"{named}/job-state-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="cuesheet-state-")
-
-
 _AS_OF = 1705000000000000
 
 
