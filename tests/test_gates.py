@@ -154,15 +154,29 @@ def test_deck_types(spark):
     assert routed[1] == ("explainer", 0.8, "second") and routed[2][2] == "heuristic"
 
 
-@pytest.mark.parametrize("cut", range(1, 60, 3))
-def test_salvage_keeps_only_complete_elements(cut):
+def test_salvage_keeps_only_complete_elements(spark):
     doc = {"kind": "diagram", "struct": {"nodes": [{"id": "a", "label": 'x "]} \\'}, {"id": "b"}], "n": [1, 2]}}
     whole = json.dumps(doc)
-    part = replies.complete_prefix(whole[:-cut])
-    if part is not None:
-        nodes = json.loads(part).get("struct", {}).get("nodes", [])
-        assert nodes == doc["struct"]["nodes"][: len(nodes)]
-    assert replies.complete_prefix('{"a": 1') is None and replies.complete_prefix('```json\n[{"a": 1}, {"b": 2') == '[{"a": 1}]'
+    fixed = {
+        '{"a": 1': None,
+        '```json\n[{"a": 1}, {"b": 2': '[{"a": 1}]',
+        '{"a": 1} ] {"b": [': '{"a": 1}',
+        '[[1, 2], "\U0001f600 \\" }", {"b": "}': "[[1, 2]]",
+        '[{"k": "\\\\"}, {"k": "]': '[{"k": "\\\\"}]',
+        "": None,
+    }
+    raws = [whole[:-cut] for cut in range(1, 60)] + list(fixed) + [None]
+    df = spark.createDataFrame(list(enumerate(raws)), "id long, raw string")
+    got = {r.raw: r.part for r in df.select("raw", replies.complete_prefix(F.col("raw")).alias("part")).collect()}
+    for raw, part in fixed.items():
+        assert got.pop(raw) == part
+    assert got.pop(None) is None
+    for part in got.values():
+        if part is not None:
+            nodes = json.loads(part).get("struct", {}).get("nodes", [])
+            assert nodes == doc["struct"]["nodes"][: len(nodes)]
+    # Cut between the last brackets, everything is there.
+    assert [json.loads(got[whole[:-cut]]) == doc for cut in (1, 2, 3)] == [True, True, False]
 
 
 def test_salvage_and_overgeneration(spark):
