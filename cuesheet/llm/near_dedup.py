@@ -240,6 +240,10 @@ def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
         active = stored(active)
         if active.isEmpty():
             return labels
+        if pivots == 1:
+            # Nothing but these is compared from here on: rounds need not move the other sets.
+            here = active.select("node").distinct()
+            sets = stored(sets.join(here.hint("merge"), "node", "left_semi"))
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
         chosen = stored(active.withColumn("_place", place).where(F.col("_place") <= pivots).drop("_place"))
         other = chosen.select("key", F.col("node").alias("_p"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("rest").alias("_rest"))
