@@ -73,3 +73,18 @@ def components(links: DataFrame) -> DataFrame:
         return labels.select("node", F.col("up").alias("component"))
     least = stored(labels.groupBy("up").agg(F.min("node").alias("component")))
     return stored(labels.join(least, "up").select("node", "component"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, component)`` with further ``links (a, b)`` taken in.
+
+    Only the components that the links touch are joined anew; of the nodes at rest each is
+    read once. Nodes without a label are their own component.
+    """
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left")
+    moved = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = moved.select(F.col("node").alias("_from"), F.col("component").alias("_to"))
+    both = labels.join(moved, labels["component"] == moved["_from"], "full")
+    return stored(both.select(F.coalesce("node", "_from").alias("node"), F.coalesce("_to", "component").alias("component")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, mix, pieces, shingles
-from cuesheet.llm.components import components
+from cuesheet.llm.components import components, joined
 from cuesheet.llm.rows import numbered
 from cuesheet.session import stored
 
@@ -224,8 +224,7 @@ def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
     others = members.where("node <> pivot")
     fits = _reachable(F.col("n"), F.col("n"), F.col("pivot_n"), F.col("pivot_n"))
     checked = stored(others.where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(confirmed(checked, sets))
-    labels = components(links)
+    labels = components(stored(confirmed(checked, sets)))
     active = others.select("key", "node", "n", F.col("n").alias("rest"))
     pivots, dealt = 1, False
     while True:
@@ -257,8 +256,7 @@ def joined_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
         more = stored(confirmed(fresh, sets))
         checked = checked.unionByName(fresh)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = joined(labels, more)
         active = active.drop("component").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
         pivots *= 4
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, shingles
-from cuesheet.llm.components import components
+from cuesheet.llm.components import components, joined
 from cuesheet.llm.line_dedup import aligned_lines, ascending, drop_common_blocks
 from cuesheet.llm.near_dedup import COMPONENTS, drop_near_duplicates, near_duplicates, signatures
 from cuesheet.llm.paragraph_dedup import drop_repeated_paragraphs
@@ -105,6 +105,19 @@ def test_components_of_chains_stars_and_pairs(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_take_in_further_links(spark):
+    rnd = random.Random(9)
+    links = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(90)]
+    schema = "a bigint, b bigint"
+    once = {tuple(r) for r in components(spark.createDataFrame(links, schema)).collect()}
+    labels = components(spark.createDataFrame(links[:40], schema))
+    # New nodes, links inside a component, a link twice and none at all.
+    for part in (links[40:70] + links[:5], links[70:] * 2, []):
+        labels = joined(labels, spark.createDataFrame(part, schema))
+    got = [tuple(r) for r in labels.collect()]
+    assert len(got) == len(set(got)) and set(got) == once
+
+
 def test_paragraphs(spark):
     rnd = random.Random(6)
     p, q = words(rnd, 60), words(rnd, 30)
