@@ -401,10 +401,10 @@ def a22(spark, folder):
 @query(
     "f20_value_labels",
     """SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
-         ELSE regexp_replace(printf('%.3e', o_totalprice), '\\.?0+e', 'e') END AS label FROM orders WHERE o_totalprice >= 10000""",
+         ELSE printf('%.4g', o_totalprice) END AS label FROM orders""",
 )
 def f20(spark, folder):
-    return load(spark, folder, "orders").where("o_totalprice >= 10000").select(
+    return load(spark, folder, "orders").select(
         "o_orderkey", timeline.value_label(F.col("o_totalprice")).alias("label")
     )
 

@@ -625,4 +625,4 @@ def s7(spark, folder):
         F.transform(F.sequence(F.lit(0), F.lit(3)), box).alias("boxes"),
     )
     replies = load(spark, folder, "orders").select(F.col("o_orderkey").alias("frame_id"), F.to_json(doc).alias("raw"))
-    return readers.ingest_boxes(replies, 2).select("frame_id", "box_index", F.round("score", 6).alias("score"), "cls", "x")
+    return readers.ingest_boxes(replies, 2)[0].select("frame_id", "box_index", F.round("score", 6).alias("score"), "cls", "x")

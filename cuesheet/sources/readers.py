@@ -125,13 +125,16 @@ def parse_outlines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.where(fits).select("doc.*"), bad.unionByName(good.where(~fits).drop("doc"))
 
 
-def ingest_boxes(replies: DataFrame, k: int = 50, min_score: float = 0.15) -> DataFrame:
-    """Detector replies ``(frame_id, raw)`` to one row per box: strong ones, strongest first, capped."""
-    good, _ = parse_json(replies, BOXES)
+def ingest_boxes(replies: DataFrame, k: int = 50, min_score: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """Detector replies ``(frame_id, raw)`` to one row per box: strong ones, strongest first, capped.
+
+    Unreadable replies in quarantine.
+    """
+    good, bad = parse_json(replies, BOXES)
     rows = good.select(
         "frame_id", "doc.image", F.posexplode("doc.boxes").alias("box_index", "_b")
     ).select(
         "frame_id", "box_index", "_b.bbox.x", "_b.bbox.y", "_b.bbox.w", "_b.bbox.h", "_b.cls", "_b.score",
         F.col("image.w").alias("img_w"), F.col("image.h").alias("img_h"),
     )
-    return strongest_boxes(rows, k, min_score)
+    return strongest_boxes(rows, k, min_score), bad

@@ -148,3 +148,9 @@ def test_copies_form_one_common_cluster(spark):
     df = spark.createDataFrame(rows, "sector_id string, video_id string, ord long, relevance_pct int, e array<float>")
     got = {r.kind: (r.n_points, r.n_videos, r.video_id) for r in topics.common_and_distinctive(df, topics.signature(F.col("e"), 4, 8), 5).collect()}
     assert got == {"common": (3, 2, "a"), "distinctive": (1, 1, "c")}
+
+
+def test_unreadable_box_replies_are_quarantined(spark):
+    rows = [(1, '{"image": {"w": 9, "h": 9}, "boxes": [{"bbox": {"x": 1, "y": 1, "w": 2, "h": 2}, "cls": "table", "score": 0.5}]}'), (2, '{"boxes": ['), (3, None)]
+    good, bad = readers.ingest_boxes(spark.createDataFrame(rows, "frame_id long, raw string"))
+    assert [r.frame_id for r in good.collect()] == [1] and {r.frame_id for r in bad.collect()} == {2, 3}
