@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, shingles
 from cuesheet.llm.components import components, joined
-from cuesheet.llm.line_dedup import aligned_lines, ascending, drop_common_blocks
+from cuesheet.llm.line_dedup import aligned_lines, ascending, drop_common_blocks, runs_of_lines
 from cuesheet.llm.near_dedup import COMPONENTS, drop_near_duplicates, near_duplicates, signatures
 from cuesheet.llm.paragraph_dedup import drop_repeated_paragraphs
 
@@ -169,3 +169,32 @@ def test_alignment_is_patience():
     # A line between, held earlier by a third document, is part of the block.
     third = line(1, 0, partner=0, df=900)
     assert aligned_lines([line(0, 4, after=7, holder_after=7), third, line(2, 6)]) == [0, 1, 2]
+
+
+def test_blocks_whose_lines_third_documents_had_first(spark):
+    """Two and three short lines, each first held by another document, shared as a block later on."""
+    short = [f"line {k} of thirty-one characters" for k in range(5)]
+    docs = [(k, f"{short[k]}\nalone {k}", None, 1) for k in range(5)]
+    docs += [(10, "\n".join(["ten", *short[:2], "x", *short[2:]]), None, 1), (11, "\n".join([*short[:2], "eleven", *short[2:]]), None, 1)]
+    # Neighbours on either side of a blank line are no block.
+    docs += [(12, f"{short[0]}\n\n{short[1]}", None, 1)]
+    got = {r.doc_id: r for r in drop_common_blocks(spark.createDataFrame(docs, DOC)).collect()}
+    assert got[11].text == "eleven" and got[11].removed == [0, 1, 3, 4, 5]
+    assert all(got[i].text == t for i, t, *_ in docs if i != 11)
+
+
+def test_runs_cover_every_block():
+    rnd = random.Random(12)
+    chars = np.array([rnd.choice([0, 1, 9, 25, 40, 70]) for _ in range(400)])
+    first, k, code = runs_of_lines(np.arange(400) % 7, chars, np.arange(400) // 90)
+    runs = set(zip(first.tolist(), k.tolist()))
+    assert all(chars[i : i + n].sum() >= 60 and chars[i : i + n].min() > 0 and i // 90 == (i + n - 1) // 90 for i, n in runs)
+    runs |= {(i, 1) for i in range(400) if chars[i] >= 60}
+    for i in range(400):
+        for n in range(1, 12):
+            if i + n <= 400 and i // 90 == (i + n - 1) // 90 and chars[i : i + n].min() > 0 and chars[i : i + n].sum() >= 60:
+                covered = {x for a, b in runs if i <= a and a + b <= i + n for x in range(a, a + b)}
+                assert covered == set(range(i, i + n))
+    # Equal runs have equal hashes wherever they stand.
+    again = {(i % 90, n): h for i, n, h in zip(*runs_of_lines(np.tile(np.arange(90), 2), np.full(180, 25), np.arange(180) // 90))}
+    assert len(set(again.values())) == len(again) == 88
