@@ -10,7 +10,8 @@ with its partners in the order of their rarest shared line. Alignment is patienc
 stand once in either document, in the longest run of ascending places, are anchors; from anchors it
 extends over equal neighbours. An aligned block of consecutive lines with ``LEAST_CHARS``
 characters and more is deleted from the later document; then runs and long lines that stand
-between the deleted blocks in both documents are.
+between the deleted blocks in both documents are, repeated ones too: the n-th with the n-th. So a
+document that holds a passage once takes it once from a later document that holds it twice.
 
 Defined results: null texts stay null; blank lines are never shared; white space around a line
 does not matter; documents are ordered by id (null last), equal ids by place in the table, so
@@ -120,8 +121,9 @@ def aligned_lines(shared: list[dict], least_chars: int = LEAST_CHARS) -> list[in
 
     ``shared`` are its lines that an earlier document holds: place ``i``, ``chars``, hashes of the
     lines around it ``before`` and ``after``, and of the holder: ``partner`` (its order), place
-    ``j``, ``once`` (the line stands once in it), ``holder_before`` and ``holder_after``; ``df`` is the
-    number of documents with the line. With ``k`` above 1 it is a run of so many lines.
+    ``j`` and all ``places``, ``once`` (the line stands once in it), ``holder_before`` and
+    ``holder_after``; ``df`` is the number of documents with the line. With ``k`` above 1 it is a run
+    of so many lines.
     """
     chars = {s["i"]: s["chars"] for s in shared if s.get("k", 1) == 1}
     partners: dict[int, list[dict]] = defaultdict(list)
@@ -156,8 +158,8 @@ def aligned_lines(shared: list[dict], least_chars: int = LEAST_CHARS) -> list[in
                 block = []
             if i is not None:
                 block.append(i)
-        long = [s for s in units if s["once"] and (s.get("k", 1) > 1 or s["chars"] >= least_chars)]
-        between([(s["i"], s.get("k", 1), [s["j"]]) for s in long], kept)
+        long = [s for s in units if s.get("k", 1) > 1 or s["chars"] >= least_chars]
+        between([(s["i"], s.get("k", 1), s.get("places") or [s["j"]]) for s in long], kept)
         gone.update(kept)
     return sorted(gone)
 
@@ -201,18 +203,19 @@ def common_blocks(rows: DataFrame) -> DataFrame:
 
     # The earliest holder of every line or run that several documents have.
     in_doc = lines.groupBy("h", "row", "doc_id").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("i", "before", "after")).alias("at")
+        F.sort_array(F.collect_list("i")).alias("places"), F.min(F.struct("i", "before", "after")).alias("at")
     )
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "times", "at")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "places", "at")
     holders = in_doc.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(order).alias("f")).where("df > 1")
     holders = stored(
         holders.select(
-            "h", "df", F.col("f.row").alias("partner"), F.col("f.at.i").alias("j"), (F.col("f.times") == 1).alias("once"),
+            "h", "df", F.col("f.row").alias("partner"), F.col("f.at.i").alias("j"), (F.size("f.places") == 1).alias("once"),
+            F.when(F.size("f.places") > 1, F.col("f.places")).alias("places"),
             F.col("f.at.before").alias("holder_before"), F.col("f.at.after").alias("holder_after"),
         )
     )
     shared = stored(lines.join(holders, "h").where("row <> partner").drop("h", "doc_id"))
-    own = F.struct("i", "k", "chars", "before", "after", "partner", "j", "once", "holder_before", "holder_after", "df")
+    own = F.struct("i", "k", "chars", "before", "after", "partner", "j", "places", "once", "holder_before", "holder_after", "df")
     lists = shared.groupBy("row").agg(F.collect_list(own).alias("shared"))
     return stored(lists.select("row", _align("shared").alias("removed")).where("size(removed) > 0"))
 

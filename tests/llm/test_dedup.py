@@ -198,3 +198,22 @@ def test_runs_cover_every_block():
     # Equal runs have equal hashes wherever they stand.
     again = {(i % 90, n): h for i, n, h in zip(*runs_of_lines(np.tile(np.arange(90), 2), np.full(180, 25), np.arange(180) // 90))}
     assert len(set(again.values())) == len(again) == 88
+
+
+def test_lines_that_repeat_in_one_document(spark):
+    rnd = random.Random(13)
+    p, q, r = (words(rnd, 14) for _ in range(3))
+    docs = [
+        (1, "\n".join([p, q, "one", p, q]), None, 1),  # a passage twice
+        (2, "\n".join(["two", p, q]), None, 1),
+        (3, "\n".join([p, "three", q, p, q, p, q]), None, 1),  # more often than the first
+        (4, "\n".join([r] * 4), None, 1),  # nothing but repeats
+        (5, "\n".join([r] * 4), None, 1),
+        (6, "\n".join([r] * 6), None, 1),
+    ]
+    got = {r.doc_id: r for r in drop_common_blocks(spark.createDataFrame(docs, DOC)).collect()}
+    assert got[1].removed is None and got[4].removed is None
+    assert got[2].text == "two" and got[5].text == "" and got[6].n_removed == 4
+    # As many of each as the first document has.
+    left = got[3].text.split("\n")
+    assert "three" in left and left.count(p) == 1 and left.count(q) == 1
