@@ -23,7 +23,7 @@ from cuesheet.llm.bytewords import mix, utf8
 
 FEATURES = 4_096
 GRAMS = (2, 3, 4)
-# Bound of the labelled table: URLs of each verdict.
+# Bound of the labelled table: different hosts and paths of each verdict.
 TRAIN_URLS = 2_000
 STEPS = 150
 # URLs judged at a time.
@@ -117,7 +117,8 @@ def learn(labelled: DataFrame) -> Model:
 def judge(pages: DataFrame, rules: Sequence[Rule], model: Model | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    Without a model one is learned from the URLs the rules decide, ``TRAIN_URLS`` of each verdict.
+    Without a model one is learned from the URLs the rules decide: about ``TRAIN_URLS``
+    different hosts and paths of each verdict, however often each is in the table.
     """
     host, path = host_and_path(F.col("url"))
     kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
@@ -125,12 +126,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: Model | None = None) -
     read = read.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r.name for r in rules if r.verdict == "block"])
     if model is None:
-        known = read.where("rule is not null").select("host", "path", blocked.cast("int").alias("blocked"))
+        # Each host and path counts once: copies must not thin out what is learned from.
+        known = read.where("rule is not null").select("host", "path", blocked.cast("int").alias("blocked")).distinct()
         counted = {r["blocked"]: r["count"] for r in known.groupBy("blocked").count().collect()}
         point = (F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
         share = F.when(F.col("blocked") == 1, TRAIN_URLS / max(1, counted.get(1, 0)))
         share = share.otherwise(TRAIN_URLS / max(1, counted.get(0, 0)))
-        model = learn(known.where(point < share).dropDuplicates(["host", "path"]))
+        model = learn(known.where(point < share))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

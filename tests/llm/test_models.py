@@ -59,6 +59,18 @@ def test_urls(spark):
     assert url_filter.judge(empty, RULES).count() == 0
 
 
+def test_url_copies_change_no_verdict(spark):
+    urls = [f"a://x{i}.com/good/{i}" for i in range(8)] + [f"a://y{i}.net/es/{i}" for i in range(8)] + ["a://z.org/good/1", "a://z.org/es/1"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    copies = pages.crossJoin(spark.range(4000)).selectExpr("concat(url, '?q=', id) as url")
+    once, often = (
+        {(r.host, r.path): (r.verdict, round(r.block_score, 6)) for r in url_filter.judge(p, RULES).select("host", "path", "verdict", "block_score").distinct().collect()}
+        for p in (pages, copies)
+    )
+    assert once == often
+    assert (once["z.org", "/good/1"][0], once["z.org", "/es/1"][0]) == ("allow", "block")
+
+
 def test_url_regression_learns():
     seen = url_filter.features(pa.array(["a.bad.net", "b.fine.org"]), pa.array(["/xx/1", "/yy/1"]))
     assert seen.shape == (2, url_filter.FEATURES) and abs((seen**2).sum() - 2) < 1e-4
