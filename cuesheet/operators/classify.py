@@ -39,8 +39,7 @@ WORDS = {
     ],
 }
 DECK_TYPES = tuple(WORDS)
-# The heuristic looks at this much of a transcript by definition; titles count most.
-SAMPLE_CHARS = 4000
+# Titles count most.
 TITLE_WEIGHT, DESCRIPTION_WEIGHT = 3, 2
 RANKING_BONUS, QUESTION_BONUS, QUESTION_MARKS = 3, 2, 8
 SURE_ENOUGH = 0.45
@@ -62,13 +61,17 @@ def _words_in(text: Column, words: Sequence[str]) -> Column:
     return count(plain) + F.when(text.rlike("[가-힣]"), count(hangul)).otherwise(0)
 
 
-def type_scores(items: DataFrame) -> DataFrame:
-    """Add ``scores``: one score per deck type. Needs ``title, description, transcript``."""
+def type_scores(items: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Add ``scores``: one score per deck type. Needs ``title, description, transcript``.
+
+    The whole transcript counts, or only its first ``sample_chars`` characters.
+    """
+    spoken = F.coalesce("transcript", F.lit(""))
     lowered = items.withColumns(
         {
             "_title": F.lower(F.coalesce("title", F.lit(""))),
             "_description": F.lower(F.coalesce("description", F.lit(""))),
-            "_sample": F.substring(F.coalesce("transcript", F.lit("")), 1, SAMPLE_CHARS),
+            "_sample": spoken if sample_chars is None else F.substring(spoken, 1, sample_chars),
         }
     ).withColumn("_spoken", F.lower("_sample"))
     columns = []

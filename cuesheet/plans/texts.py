@@ -13,6 +13,9 @@ from cuesheet.plans.registry import load, query
 
 # --- deck types -----------------------------------------------------------------------------
 
+# The source's heuristic looks at this much of a transcript.
+SAMPLE_CHARS = 4000
+
 
 def _items(spark, folder):
     return load(spark, folder, "documents").select(
@@ -57,12 +60,12 @@ picked AS (SELECT doc_id, CASE WHEN top = 0 THEN 'explainer' ELSE top_type END A
 
 @query("a10_type_scores", _scores(_DOCS) + "SELECT * FROM scores")
 def a10(spark, folder):
-    return classify.type_scores(_items(spark, folder)).select("doc_id", "scores.*")
+    return classify.type_scores(_items(spark, folder), SAMPLE_CHARS).select("doc_id", "scores.*")
 
 
 @query("a11_pick_type", _scores(_DOCS) + _PICK + "SELECT * FROM picked")
 def a11(spark, folder):
-    return classify.pick_type(classify.type_scores(_items(spark, folder))).select("doc_id", "type", "confidence")
+    return classify.pick_type(classify.type_scores(_items(spark, folder), SAMPLE_CHARS)).select("doc_id", "type", "confidence")
 
 
 @query("a11_page_types", _scores(_PAGES) + _PICK + "SELECT * FROM picked")
@@ -73,7 +76,7 @@ def a11_pages(spark, folder):
         F.col("url").alias("description"),
         F.col("html").alias("transcript"),
     )
-    return classify.pick_type(classify.type_scores(p)).select("doc_id", "type", "confidence")
+    return classify.pick_type(classify.type_scores(p, SAMPLE_CHARS)).select("doc_id", "type", "confidence")
 
 
 @query(
@@ -87,7 +90,7 @@ SELECT p.doc_id, CASE WHEN p.confidence < 0.45 AND o.second_type = 'story' THEN
 FROM picked p LEFT JOIN opinions o ON p.doc_id = o.doc_id""",
 )
 def a13(spark, folder):
-    picked = classify.pick_type(classify.type_scores(_items(spark, folder))).select("doc_id", "type", "confidence")
+    picked = classify.pick_type(classify.type_scores(_items(spark, folder), SAMPLE_CHARS)).select("doc_id", "type", "confidence")
     opinions = load(spark, folder, "labels").select(
         "doc_id",
         F.when(F.col("quality") == 1, "story").otherwise("essay").alias("second_type"),

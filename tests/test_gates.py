@@ -154,6 +154,14 @@ def test_deck_types(spark):
     assert routed[1] == ("explainer", 0.8, "second") and routed[2][2] == "heuristic"
 
 
+def test_deck_types_of_the_whole_transcript(spark):
+    late = "word " * 1000 + "podcast " + "? " * 8
+    df = spark.createDataFrame([(0, "", "", late)], "id long, title string, description string, transcript string")
+    assert classify.type_scores(df).first().scores.interview == 3
+    assert classify.type_scores(df, 4000).first().scores.interview == 0
+    assert classify.type_scores(df, 5008).first().scores.interview == 1
+
+
 def test_salvage_keeps_only_complete_elements(spark):
     doc = {"kind": "diagram", "struct": {"nodes": [{"id": "a", "label": 'x "]} \\'}, {"id": "b"}], "n": [1, 2]}}
     whole = json.dumps(doc)
