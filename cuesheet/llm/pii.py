@@ -60,11 +60,12 @@ _SPELLED_PLUS = re.compile(r"(?<!\w)plus\s+$", re.I)
 _ONE_DIGIT = re.compile(rf"{_DIGIT}", re.I)
 _BETWEEN = re.compile(rf"[\s,.-]+(?:({_POINT})\s+)?", re.I)
 _AT = re.compile(r"\s*[(\[{<]\s*(?:at|@|arroba|ät|chez)\s*[)\]}>]\s*", re.I)
-_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]\s*", re.I)
+_HELD_POINT = rf"[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]"
+_DOT = re.compile(rf"\s*{_HELD_POINT}\s*", re.I)
 # Without brackets only words count that are no ordinary words around here.
 _BARE_POINT = r"(?:dot|punkt|punto)"
-# A bare "at" counts only before a name, not an article, with a written-out point.
-_BARE_AT = re.compile(rf"(?<=\w)\s+at\s+(?!(?:the|a|an|this|that|his|her|its|their|our|your|my|some|any|every|no)\s)(?=[\w-]+(?:(?:\s+{_BARE_POINT}\s+|\s*[(\[{{<]\s*(?:{_POINT}|\.)\s*[)\]}}>]\s*|\.)[\w-]+)*\s+{_BARE_POINT}\s+[\w-])", re.I)
+# A bare "at" or "arroba" counts only before a name, not an article, with a written-out or bracketed point.
+_BARE_AT = re.compile(rf"(?<=\w)\s+(?:at|arroba)\s+(?!(?:the|a|an|this|that|his|her|its|their|our|your|my|some|any|every|no)\s)(?=[\w-]+(?:(?:\s+{_BARE_POINT}\s+|\s*{_HELD_POINT}\s*|\.)[\w-]+)*(?:\s+{_BARE_POINT}\s+|\s*{_HELD_POINT}\s*)[\w-])", re.I)
 _BARE_DOT = re.compile(rf"(?<=\w)\s+{_BARE_POINT}\s+(?=\w)", re.I)
 # Cheap signs that a text may hold a disguise at all.
 _FOREIGN = re.compile("[" + re.escape(_LIKE) + "​-‍⁠­﻿！-～٠-٩۰-۹①-⑳⁰-₉\U0001d400-\U0001d7ff]")

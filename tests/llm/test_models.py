@@ -104,6 +104,13 @@ def test_disguised_personal_data_maps_back():
         assert spans_of(clean) == (set(), set()), clean
 
 
+def test_bare_at_before_bracketed_dots():
+    for found in ("jane at example [dot] org", "jane at example (dot) org", "jane at mail dot example {.} org", "jane arroba example [punto] org", "jane arroba example punto org"):
+        assert spans_of(f"write to {found}, now") == (set(), {("email", found)}), found
+    for clean in ("look at the (dot) here", "one arroba of wine", "jane at example point org"):
+        assert spans_of(clean) == (set(), set()), clean
+
+
 def test_personal_data_rows(spark):
     docs = spark.createDataFrame([(1, "é a@b.co", 9), (2, None, 1), (3, "", 1)], "doc_id int, text string, n_ip int")
     got = {r.doc_id: r for r in pii.find(docs).collect()}
