@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, language, line_dedup, mixing, near_dedup, neighbours, oracles
-from cuesheet.llm import paragraph_dedup, pii, quality, url_filter
+from cuesheet.llm import centroids, decontaminate, integers, language, line_dedup, mixing, near_dedup, neighbours, oracles
+from cuesheet.llm import paragraph_dedup, pieces, pii, quality, url_filter, vector_codes, vector_oracles
 from cuesheet.llm.url_filter import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +108,48 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_nearest_neighbours")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "embeddings"), every=100)
+
+
+@query("op11_pieces")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(load(spark, folder, "documents").select("doc_id", "text"), model)
+    both = pieces.packed(pieces.decode(encoded.drop("text"), model))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def digest(numbers: list[int]) -> str:
+    return hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest()
+
+
+@query("op12_vector_codes", vector_oracles.CODES)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(load(spark, folder, "embeddings"))
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    entries = [x for book in books.parts for entry in book.tolist() for x in entry]
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(entries)).alias("codebooks_sha256"))
+
+
+@query("op13_centroids", vector_oracles.CENTROIDS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(load(spark, folder, "embeddings"))
+    # A value for each centroid, of which there are few.
+    sums = [min(i, integers.LONGEST) for i in found.inertias]
+    of_cluster = F.lit(sums).cast("array<bigint>")
+    names = F.lit([digest(c) for c in found.centroids.tolist()]).cast("array<string>")
+    at = F.col("cluster") + 1
+    return found.vectors.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        F.element_at(of_cluster, at).alias("cluster_inertia"),
+        F.lit(min(sum(found.inertias), integers.LONGEST)).cast("bigint").alias("inertia"),
+        F.element_at(names, at).alias("centroid_sha256"),
+    )
