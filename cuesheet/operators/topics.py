@@ -2,49 +2,22 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def signature(vector: Column, dims: int, bits: int, seed: int = 7) -> Column:
-    """Side of ``bits`` fixed random hyperplanes a vector lies on, as one integer.
-
-    Vectors at angle a agree on a plane with probability 1 - a/pi, so close vectors share
-    the whole signature with high probability and distant ones hardly ever.
-    """
-    planes = hyperplanes(dims, bits, seed)
-    total = F.lit(0).cast("bigint")
-    for bit, plane in enumerate(planes):
-        # Whole-number weights keep the sum independent of the order of addition.
-        weights = F.array(*[F.lit(float(w)) for w in plane])
-        side = F.aggregate(
-            F.zip_with(vector, weights, lambda a, w: a.cast("double") * w), F.lit(0.0), lambda acc, p: acc + p
-        )
-        total = total + F.when(side >= 0, F.lit(1 << bit)).otherwise(0)
-    return total
-
-
-def hyperplanes(dims: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """Normals with entries -1 or 1, the same for the same seed."""
-    draw = random.Random(seed)
-    return [[draw.choice((-1, 1)) for _ in range(dims)] for _ in range(bits)]
+from cuesheet.operators.similarity import THRESHOLD, similar_clusters
 
 
-def common_and_distinctive(
-    points: DataFrame, signature_column: Column, top_k: int
-) -> DataFrame:
+def common_and_distinctive(points: DataFrame, top_k: int, threshold: float = THRESHOLD) -> DataFrame:
     """Clusters of alike points per sector, common ones and each video's own.
 
-    ``points(sector_id, video_id, ord, relevance_pct, …)``. The source gives neither a method
-    nor a threshold; ours groups points of one signature, which needs no pair of points: one
-    aggregation, combined map-side, however large a group of copies is. A cluster of several
-    videos is common core, one of a single video is distinctive. Per sector and kind the
-    ``top_k`` clusters by their best relevance are kept.
+    ``points(sector_id, video_id, ord, relevance_pct, embedding)``, ``ord`` naming the point. Points
+    are clustered by similarity (see ``similar_clusters``); the source gives no threshold, so it is a
+    parameter. A cluster of several videos is common core, one of a single video is distinctive.
+    Per sector and kind the ``top_k`` clusters by their best relevance are kept.
     """
     clusters = (
-        points.withColumn("cluster", signature_column)
+        similar_clusters(points, ["sector_id"], "ord", "embedding", threshold)
         .groupBy("sector_id", "cluster")
         .agg(
             F.countDistinct("video_id").alias("n_videos"),

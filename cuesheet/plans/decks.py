@@ -517,32 +517,32 @@ def j13(spark, folder):
     ).select("r_name", "n_name", "video_id", "section_id")
 
 
-_BITS, _DIMS = 6, 64
-
-
-def _signature_sql() -> str:
-    parts = [
-        f"CASE WHEN list_dot_product(embedding::DOUBLE[], {[float(v) for v in plane]}::DOUBLE[]) >= 0 THEN {1 << bit} ELSE 0 END"
-        for bit, plane in enumerate(topics.hyperplanes(_DIMS, _BITS))
-    ]
-    return f"CAST({' + '.join(parts)} AS BIGINT)"
+# Every vector is a point of four videos or of one, each time drawn further out of shape.
+_COPIES = "list_transform(embedding, lambda x, i: x::DOUBLE * (1 + j * ((vec_id * 31 + (i - 1) * 17) % 9 - 4) * 0.08))"
 
 
 @query(
     "a20_common_and_distinctive",
-    f"""WITH points AS (SELECT label AS sector_id, vec_id % 7 AS video_id, vec_id AS ord, vec_id * 13 % 100 AS relevance_pct, {_signature_sql()} AS cluster FROM embeddings),
-clusters AS (SELECT sector_id, cluster, count(DISTINCT video_id) AS n_videos, count(*) AS n_points, max(relevance_pct) AS relevance_pct FROM points GROUP BY ALL),
-best AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY sector_id, cluster ORDER BY relevance_pct DESC, video_id, ord) = 1),
+    f"""WITH RECURSIVE points AS MATERIALIZED (SELECT label AS sector_id, (vec_id + CASE WHEN vec_id % 3 = 0 THEN j ELSE 0 END) % 7 AS video_id, vec_id * 4 + j AS ord,
+  (vec_id * 13 + j * 29) % 100 AS relevance_pct, {_COPIES} AS v FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS j)),
+links AS MATERIALIZED (SELECT a.ord AS a, b.ord AS b FROM points a JOIN points b ON a.sector_id = b.sector_id AND a.ord <> b.ord WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT ord AS id, ord AS other FROM points UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+clustered AS (SELECT p.*, c.cluster FROM points p JOIN (SELECT id, min(other) AS cluster FROM reach GROUP BY id) c ON c.id = p.ord),
+clusters AS (SELECT sector_id, cluster, count(DISTINCT video_id) AS n_videos, count(*) AS n_points, max(relevance_pct) AS relevance_pct FROM clustered GROUP BY ALL),
+best AS (SELECT * FROM clustered QUALIFY row_number() OVER (PARTITION BY sector_id, cluster ORDER BY relevance_pct DESC, video_id, ord) = 1),
 kinds AS (SELECT c.*, CASE WHEN n_videos > 1 THEN 'common' ELSE 'distinctive' END AS kind, b.video_id, b.ord FROM clusters c JOIN best b USING (sector_id, cluster))
 SELECT sector_id, kind, CAST(row_number() OVER (PARTITION BY sector_id, kind ORDER BY relevance_pct DESC, cluster) AS INTEGER) AS rank, cluster, n_videos, n_points, relevance_pct, video_id, ord
 FROM kinds QUALIFY row_number() OVER (PARTITION BY sector_id, kind ORDER BY relevance_pct DESC, cluster) <= 10""",
 )
 def a20(spark, folder):
-    v = F.col("vec_id")
-    points = load(spark, folder, "embeddings").select(
-        F.col("label").alias("sector_id"), (v % 7).alias("video_id"), v.alias("ord"), (v * 13 % 100).alias("relevance_pct"), "embedding"
-    )
-    return topics.common_and_distinctive(points, topics.signature(F.col("embedding"), _DIMS, _BITS), 10)
+    id_, j = F.col("vec_id"), F.col("j")
+    copies = load(spark, folder, "embeddings").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    drawn = F.transform("embedding", lambda x, i: x.cast("double") * (1 + j * ((id_ * 31 + i * 17) % 9 - 4) * 0.08))
+    points = copies.select(
+        F.col("label").alias("sector_id"), ((id_ + F.when(id_ % 3 == 0, j).otherwise(0)) % 7).alias("video_id"), (id_ * 4 + j).alias("ord"),
+        ((id_ * 13 + j * 29) % 100).alias("relevance_pct"), drawn.alias("embedding"),
+    )
+    return topics.common_and_distinctive(points, 10)
 
 
 # --- slide audits: lines as text shapes -----------------------------------------------------

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.operators import audits, decks, jobs, topics
+from cuesheet.operators import audits, decks, jobs
 from cuesheet.plans.bindings import job_events_of
 from cuesheet.sources import readers, sinks
 from cuesheet.streaming.jobs import read_job_state, start_job_state, sweep_job_state
@@ -143,13 +143,6 @@ def test_exact_quantile(spark):
     assert got == pytest.approx(float(np.quantile(values, 0.95)))
 
 
-def test_copies_form_one_common_cluster(spark):
-    rows = [("s", v, i, 10, [1.0, 2.0, 3.0, 4.0]) for i, v in enumerate("aab")] + [("s", "c", 9, 99, [-1.0, -2.0, -3.0, -4.0])]
-    df = spark.createDataFrame(rows, "sector_id string, video_id string, ord long, relevance_pct int, e array<float>")
-    got = {r.kind: (r.n_points, r.n_videos, r.video_id) for r in topics.common_and_distinctive(df, topics.signature(F.col("e"), 4, 8), 5).collect()}
-    assert got == {"common": (3, 2, "a"), "distinctive": (1, 1, "c")}
-
-
 def test_unreadable_box_replies_are_quarantined(spark):
     rows = [(1, '{"image": {"w": 9, "h": 9}, "boxes": [{"bbox": {"x": 1, "y": 1, "w": 2, "h": 2}, "cls": "table", "score": 0.5}]}'), (2, '{"boxes": ['), (3, None)]
     good, bad = readers.ingest_boxes(spark.createDataFrame(rows, "frame_id long, raw string"))
