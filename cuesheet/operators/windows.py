@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.timeline import cosine_distance, hamming
-from cuesheet.ordering import TIME_SLOT_SEC, largest_group, ord_slot, position, previous, time_slot
-from cuesheet.session import checkpointed
+from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, previous, time_slot
+from cuesheet.session import stored
 
 MIN_SEGMENT_SEC = 5.0
 TOPIC_DISTANCE = 0.30
@@ -21,8 +21,9 @@ FRAME_TARGET = 60
 SLIDE_CAP = 20
 # Recordings up to this size are folded as one array.
 FOLD_ROWS = 512
-# Frames of a longer recording walked by one task.
+# Frames of a longer recording walked by one task, and hashes told of a piece to the others.
 PIECE_ROWS = 250_000
+SUMMARY_ROWS = 1_024
 
 
 def long_segments(captions: DataFrame, min_sec: float = MIN_SEGMENT_SEC) -> DataFrame:
@@ -62,22 +63,27 @@ def near_duplicate_runs(
     frames: DataFrame,
     radius: int = NEAR_DUP_BITS,
     slot_sec: float = TIME_SLOT_SEC,
-    longest: int | None = None,
     fold_rows: int = FOLD_ROWS,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Add ``run_no``, the number of a frame's run in its recording, and ``n_runs``.
 
     A frame joins the run while its hash is within ``radius`` bits of the run's *first* frame,
-    so the walk cannot be written with ``lag``. When no recording has more than ``fold_rows``
-    frames (``longest`` is counted when not given) each is folded as one array; otherwise
-    recordings are walked in pieces, see ``_walk_pieces``.
+    so the walk cannot be written with ``lag``. Each recording of at most ``fold_rows`` frames is
+    folded as one array; each longer one is walked in pieces, see ``_walk_pieces``.
     """
     known = frames.where(F.col("phash").isNotNull())
-    if longest is None:
-        longest = largest_group(known, ["video_id"])
-    if longest > fold_rows:
-        return _walk_pieces(known, radius, slot_sec, piece_rows)
+    long = stored(known.groupBy(F.col("video_id").alias("_long")).count().where(F.col("count") > fold_rows).select("_long"))
+    columns = [*known.columns, "run_no", "n_runs"]
+    if long.isEmpty():
+        return _fold_recordings(known, radius).select(columns)
+    is_long = F.col("video_id").eqNullSafe(F.col("_long"))
+    short = _fold_recordings(known.join(long, is_long, "left_anti"), radius)
+    walked = _walk_pieces(known.join(long, is_long, "left_semi"), radius, slot_sec, piece_rows)
+    return short.select(columns).unionByName(walked.select(columns))
+
+
+def _fold_recordings(known: DataFrame, radius: int) -> DataFrame:
     others = [c for c in known.columns if c not in ("video_id", "phash", "timestamp_sec", "ord")]
     row = F.struct("timestamp_sec", "ord", F.col("phash").alias("hash"), *others)
     folded = (
@@ -144,60 +150,112 @@ def walk_runs(hashes: np.ndarray, entered: int | None, radius: int) -> tuple[np.
     return numbers, int(first.view(np.int64))
 
 
+def summarise_piece(hashes: np.ndarray, entered: int | None, radius: int) -> dict:
+    """What a piece does to a run that enters it, as far as ``SUMMARY_ROWS`` hashes tell.
+
+    ``exit`` and ``begun`` hold for the guess ``entered``. ``head`` are the first hashes and ``starts`` the
+    places in it where a run of that walk begins: another walk that begins a run at one of them goes
+    on as this one. ``kinds`` are the different hashes of the whole piece, if they are few enough: a run
+    near all of them passes through.
+    """
+    numbers, left = walk_runs(hashes, entered, radius)
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    kinds = np.unique(hashes)
+    return {
+        "size": len(hashes),
+        "exit": left,
+        "begun": int(numbers[-1]) + 1,
+        "head": hashes[:SUMMARY_ROWS].tolist(),
+        "starts": starts[starts < SUMMARY_ROWS].tolist(),
+        "kinds": kinds.tolist() if len(kinds) <= SUMMARY_ROWS else None,
+    }
+
+
+def enter_piece(summary: dict, entered: int, radius: int) -> tuple[int, int] | None:
+    """Run left open and runs begun when the run of ``entered`` comes into a piece, or None if its
+    summary does not tell."""
+    first = np.int64(entered).view(np.uint64)
+    kinds = summary["kinds"]
+    if kinds is not None and not (np.bitwise_count(np.asarray(kinds, np.int64).view(np.uint64) ^ first) > radius).any():
+        return entered, 0
+    head, begun, at = np.asarray(summary["head"], np.int64).view(np.uint64), 0, 0
+    common = set(summary["starts"])
+    while True:
+        far = np.flatnonzero(np.bitwise_count(head[at:] ^ first) > radius)
+        if not far.size:
+            # The run stays open to the end of what is known.
+            return (int(first.view(np.int64)), begun) if len(head) == summary["size"] else None
+        at += int(far[0])
+        if at in common:
+            return summary["exit"], begun + summary["begun"] - sum(s < at for s in summary["starts"])
+        first, begun = head[at], begun + 1
+
+
 def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int) -> DataFrame:
     """Runs of recordings of any length, walked in pieces of ``piece_rows`` frames.
 
-    The walk of a piece depends only on the run left open before it. All pieces are first
-    walked from a guess and then, while the run left open by some piece changes, walked again
-    from what the piece before left. The first piece of a recording needs no guess, so what
-    no longer changes is the exact answer; as walks fall into step at the first common run
-    start, that is mostly after one repeat. Pieces are balanced tasks, and only one row per
-    piece takes part in the scan along its recording.
+    The walk of a piece depends only on the run left open before it. Each piece is walked once from a
+    guess and leaves a summary of bounded size: what it does to any entering run, up to the first run
+    start that the two walks have in common. Summaries are composed along their recording, which gives the
+    run that enters each piece. A piece whose summary does not tell stops its recording; those pieces
+    are summarised again, now from the run known or guessed to enter them, until none is left. At
+    least one piece more is known each time, mostly all. Last, frames are numbered in one pass.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keys = ["video_id", "_piece"]
     along = Window.partitionBy("video_id").orderBy("_piece")
     order = [F.col("timestamp_sec"), F.col("ord")]
     placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
-    pieces = checkpointed(placed.withColumn("_piece", F.floor(F.col("_pos") / piece_rows)))
+    pieces = stored(placed.withColumn("_piece", F.floor(F.col("_pos") / piece_rows)))
+    hashes = pieces.select(*keys, "_pos", "phash")
     video = known.schema["video_id"].dataType.simpleString()
 
-    def ends(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("_pos")
+    # Runs travel as text: a nullable 64-bit integer would become a float in pandas.
+    def entry_of(piece: pd.DataFrame) -> int | None:
         entry = piece["_entry"].iloc[0]
-        numbers, left = walk_runs(piece["phash"].to_numpy(), None if pd.isna(entry) else int(entry), radius)
-        return pd.DataFrame({"video_id": [key[0]], "_piece": [key[1]], "_exit": [left], "_begun": [int(numbers.max()) + 1]})
+        return None if pd.isna(entry) else int(entry)
+
+    def summarised(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("_pos")
+        found = summarise_piece(piece["phash"].to_numpy(), entry_of(piece), radius)
+        found["exit"] = str(found["exit"])
+        return pd.DataFrame([{"video_id": key[0], "_piece": key[1], "guess": piece["_entry"].iloc[0], **found}])
+
+    summary = f"video_id {video}, _piece bigint, guess string, size bigint, exit string, begun bigint, head array<bigint>, starts array<int>, kinds array<bigint>"
+
+    def composed(rows: pd.DataFrame) -> pd.DataFrame:
+        """Run that enters each piece, whether that is known, and the runs begun before."""
+        rows = rows.sort_values("_piece")
+        out, entry, offset, sure = [], None, 0, True
+        for r in rows.to_dict("records"):
+            guess = None if pd.isna(r["guess"]) else int(r["guess"])
+            step = (int(r["exit"]), int(r["begun"]))
+            told = sure
+            if sure and entry != guess:
+                exact = enter_piece({**r, "exit": step[0]}, entry, radius)
+                told, step = exact is not None, exact or step
+            out.append((r["video_id"], r["_piece"], None if entry is None else str(entry), told, offset))
+            # Behind a piece that does not tell, what follows is a guess.
+            sure, entry, offset = told, step[0], offset + step[1]
+        return pd.DataFrame(out, columns=["video_id", "_piece", "_entry", "_sure", "_offset"]).assign(n_runs=offset)
+
+    entries = f"video_id {video}, _piece bigint, _entry string, _sure boolean, _offset bigint, n_runs bigint"
+    state = stored(hashes.withColumn("_entry", F.lit(None).cast("string")).groupBy(*keys).applyInPandas(summarised, summary))
+    while True:
+        entered = stored(state.groupBy("video_id").applyInPandas(composed, entries))
+        unsure = entered.where("not _sure").select(*keys, "_entry")
+        if unsure.isEmpty():
+            break
+        again = _of_pieces(hashes, unsure).groupBy(*keys).applyInPandas(summarised, summary)
+        same = F.col("s.video_id").eqNullSafe(F.col("u.video_id")) & (F.col("s._piece") == F.col("u._piece"))
+        state = stored(state.alias("s").join(unsure.alias("u"), same, "left_anti").unionByName(again))
 
     def numbered(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("_pos")
-        entry = piece["_entry"].iloc[0]
-        numbers, _ = walk_runs(piece["phash"].to_numpy(), None if pd.isna(entry) else int(entry), radius)
+        numbers, _ = walk_runs(piece["phash"].to_numpy(), entry_of(piece), radius)
         return piece.assign(_no=numbers)[columns]
 
-    def entered(state: DataFrame) -> DataFrame:
-        return state.select(*keys, F.lag("_exit").over(along).alias("_entry"), F.col("_exit").alias("_old"))
-
-    walked = f"video_id {video}, _piece bigint, _exit bigint, _begun bigint"
-    hashes = pieces.select(*keys, "_pos", "phash")
-    # The entry travels as text: a nullable 64-bit integer would become a float in pandas.
-    guess = hashes.withColumn("_entry", F.lit(None).cast("string"))
-    state = checkpointed(guess.groupBy(*keys).applyInPandas(ends, walked))
-    while True:
-        before = entered(state)
-        rows = hashes.join(before.select(*keys, F.col("_entry").cast("string")), keys)
-        after = checkpointed(rows.groupBy(*keys).applyInPandas(ends, walked))
-        changed = after.join(state.select(*keys, F.col("_exit").alias("_old")), keys).where("_exit <> _old")
-        settled = changed.isEmpty()
-        state = after
-        if settled:
-            break
-    offsets = state.select(
-        *keys,
-        F.lag("_exit").over(along).cast("string").alias("_entry"),
-        F.coalesce(F.sum("_begun").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.sum("_begun").over(Window.partitionBy("video_id")).alias("n_runs"),
-    )
-    full = pieces.join(offsets, keys)
+    full = _of_pieces(pieces, entered.drop("_sure"))
     columns = [*known.columns, "_offset", "n_runs", "_no"]
     types = {f.name: f.dataType.simpleString() for f in full.schema}
     schema = ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in columns)
@@ -209,6 +267,12 @@ def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int
     )
 
 
+def _of_pieces(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their piece."""
+    there = pieces.withColumnsRenamed({"video_id": "_v", "_piece": "_p"})
+    return rows.join(there, F.col("video_id").eqNullSafe(F.col("_v")) & (F.col("_piece") == F.col("_p"))).drop("_v", "_p")
+
+
 FRAME_COLUMNS = (
     "ord", "timestamp_sec", "section_index", "quality_score", "is_scene_boundary",
 )
@@ -317,14 +381,13 @@ def downsample(
     target: int = FRAME_TARGET,
     radius: int = NEAR_DUP_BITS,
     slot_sec: float = TIME_SLOT_SEC,
-    longest: int | None = None,
 ) -> DataFrame:
     """Merge near-duplicates, cut evenly over time, put lost tenths back.
 
     Runs follow each other in time, so the number of a run is the position of its frame and
     the cut needs no second numbering.
     """
-    merged = collapse_runs(near_duplicate_runs(frames, radius, slot_sec, longest=longest))
+    merged = collapse_runs(near_duplicate_runs(frames, radius, slot_sec))
     bucket = even_bucket(F.col("run_no"), F.col("n_runs"), target)
     return cut_with_repair(merged.withColumn("bucket", bucket)).drop("run_no", "n_runs")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import timeline
 from cuesheet.operators import generators, ranking, windows
 from cuesheet.operators.joins import best_overlap
-from cuesheet.ordering import largest_group, position, time_slot
+from cuesheet.ordering import position, time_slot
 from cuesheet.plans.bindings import (
     RADIUS,
     SLOT_SEC,
@@ -96,21 +96,12 @@ _DOWNSAMPLED = (
 )
 
 
-def _longest(spark, folder):
-    """Frames of the longest recording, read from one column."""
-    return largest_group(events(spark, folder), ["user_id"])
-
-
 def _runs(spark, folder):
-    return windows.near_duplicate_runs(
-        frames(spark, folder), RADIUS, SLOT_SEC, longest=_longest(spark, folder)
-    )
+    return windows.near_duplicate_runs(frames(spark, folder), RADIUS, SLOT_SEC)
 
 
 def _downsampled(spark, folder):
-    return windows.downsample(
-        frames(spark, folder), TARGET, RADIUS, SLOT_SEC, longest=_longest(spark, folder)
-    )
+    return windows.downsample(frames(spark, folder), TARGET, RADIUS, SLOT_SEC)
 
 
 def _merged(spark, folder):
@@ -125,6 +116,27 @@ def w2(spark, folder):
     return _runs(spark, folder).select("video_id", "ord", "phash", "run_no")
 
 
+# All events as three recordings, long ones, walked in pieces. The walk of each is one list folded in SQL.
+@query(
+    "w2_runs_of_long_recordings",
+    """WITH RECURSIVE frames AS MATERIALIZED (SELECT user_id % 3 AS video_id, event_id AS ord, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS phash,
+    row_number() OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts), event_id) AS i FROM events),
+walk AS (SELECT video_id, ord, i, phash, phash AS first, CAST(0 AS BIGINT) AS run_no FROM frames WHERE i = 1
+  UNION ALL SELECT f.video_id, f.ord, f.i, f.phash, CASE WHEN bit_count(xor(w.first, f.phash)) > 2 THEN f.phash ELSE w.first END,
+    w.run_no + CASE WHEN bit_count(xor(w.first, f.phash)) > 2 THEN 1 ELSE 0 END FROM walk w JOIN frames f ON f.video_id = w.video_id AND f.i = w.i + 1)
+SELECT video_id, ord, run_no, max(run_no) OVER (PARTITION BY video_id) + 1 AS n_runs FROM walk""",
+)
+def w2_long(spark, folder):
+    t = events(spark, folder)
+    start = F.lit(t.agg(F.min("us")).first()[0])
+    rows = t.select(
+        (F.col("user_id") % 3).alias("video_id"), F.col("event_id").alias("ord"), ((F.col("us") - start) / F.lit(1e6)).alias("timestamp_sec"),
+        F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("phash"),
+    )
+    runs = windows.near_duplicate_runs(rows, RADIUS, SLOT_SEC, piece_rows=100)
+    return runs.select("video_id", "ord", "run_no", "n_runs")
+
+
 @query("a1_collapse_runs", ctes("frames", _MERGED + " SELECT * FROM merged", recursive=True))
 def a1(spark, folder):
     return _merged(spark, folder).select(*_COLUMNS.split(", "))

@@ -12,6 +12,7 @@ from cuesheet.plans.bindings import ctes, events, frames, job_events, job_events
 from cuesheet.plans.registry import load, query
 from cuesheet.session import shared_folder
 from cuesheet.sources import readers, sinks
+from cuesheet.sources.store import Change, Store
 from cuesheet.streaming.jobs import read_job_state, start_job_state
 
 # --- job state ------------------------------------------------------------------------------
@@ -33,17 +34,44 @@ def a12(spark, folder):
     return jobs.job_state(job_events(spark, folder))
 
 
-@query("t1_job_state_stream", ctes("job_events", _STATE + " SELECT * FROM state"))
-def t1(spark, folder):
+def _streamed(spark, folder, late):
+    """Store with the job states of the whole log, streamed."""
     schema = load(spark, folder, "events").schema
     stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
         .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     )
     base = f"{shared_folder(spark)}/job-state-{uuid.uuid4().hex}"
-    started = start_job_state(job_events_of(stream), f"{base}/state", f"{base}/progress", available_now=True)
-    started.awaitTermination()
-    return read_job_state(spark.read.parquet(f"{base}/state"))
+    store = Store(spark, f"{base}/store", 8)
+    start_job_state(job_events_of(stream), store, f"{base}/progress", True, late, 36500).awaitTermination()
+    return store
+
+
+_TEN_YEARS = "3650 days"
+
+
+@query("t1_job_state_stream", ctes("job_events", _STATE + " SELECT * FROM state"))
+def t1(spark, folder):
+    # Event time stays behind every deadline, so these are the states themselves.
+    return read_job_state(_streamed(spark, folder, _TEN_YEARS)).drop("timed_out")
+
+
+@query(
+    "t2_timeout_timers",
+    ctes(
+        "job_events",
+        _STATE
+        + """, clock AS (SELECT max(event_us) // 1000 AS now_ms FROM job_events),
+late AS (SELECT *, coalesce(status = 'running' AND now_ms > timeout_us // 1000, false) AS timed_out FROM state, clock)
+SELECT job_id, stage, CASE WHEN timed_out THEN 'error' ELSE status END AS status,
+       CASE WHEN timed_out THEN 'timeout' ELSE last_error END AS last_error,
+       CASE WHEN timed_out THEN stage ELSE failure_stage END AS failure_stage, timed_out FROM late""",
+    ),
+)
+def t2_timers(spark, folder):
+    # Event time ends at the newest event of the log.
+    states = read_job_state(_streamed(spark, folder, "0 seconds"))
+    return states.select("job_id", "stage", "status", "last_error", "failure_stage", "timed_out")
 
 
 _AS_OF = 1705000000000000
@@ -374,6 +402,71 @@ def _lines(spark, folder):
     )
 
 
+def _built(spark, folder, with_figures=True):
+    """Store of deck tables after a build was written, and written again."""
+    existing, new = _decks(spark, folder)
+    store = Store(spark, f"{shared_folder(spark)}/decks-{uuid.uuid4().hex}", 16)
+    lines = _lines(spark, folder)
+    figures = load(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("slide_id"), F.col("l_suppkey").alias("figure_id"), F.lit("old").alias("origin")
+    )
+    ids = existing.select("deck_id")
+    store.commit([
+        Change("decks", existing, sinks.DECK_KEY),
+        Change("slides", lines.join(ids, "deck_id", "left_semi"), ["deck_id"]),
+        Change("figures", figures.join(ids, "deck_id", "left_semi"), ["deck_id"]),
+    ])
+    keys = new.select("deck_id", *sinks.DECK_KEY)
+
+    def fresh(rows):
+        return rows.join(keys, "deck_id").drop("deck_id").withColumn("origin", F.lit("new"))
+
+    slides = fresh(lines.where("position <= 3").withColumn("position", F.col("position") + 100))
+    for _ in range(2):
+        sinks.save_decks(store, new, slides, fresh(figures.where("figure_id % 2 = 0")) if with_figures else None)
+    return store
+
+
+@query(
+    "k1_stored_decks",
+    """WITH base AS (SELECT o_orderkey AS deck_id, printf('%011d', o_orderkey) AS video_id, 'v' || o_orderkey % 2 AS generator_version,
+  o_custkey, o_orderstatus, o_custkey % 20 AS n FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0)
+SELECT video_id, generator_version, deck_id, CASE WHEN deck_id % 2 = 0 THEN 'en' ELSE 'ko' END AS lang,
+  CASE WHEN deck_id % 2 = 0 THEN n + 1 ELSE n END AS slide_count, CASE WHEN deck_id % 2 = 0 THEN 'building' ELSE o_orderstatus END AS status,
+  CASE WHEN deck_id % 2 = 1 AND o_orderstatus = 'F' THEN 'broken' END AS error,
+  CASE WHEN deck_id % 4 = 0 THEN o_custkey + 1 WHEN deck_id % 3 <> 0 THEN o_custkey END AS user_id FROM base""",
+)
+def k1_stored(spark, folder):
+    return _built(spark, folder).read("decks").drop("v2_fingerprint")
+
+
+@query(
+    "k2_stored_slides",
+    """SELECT l_orderkey AS deck_id, l_partkey AS slide_id, CAST(l_linenumber AS INTEGER) AS position, 'old' AS origin FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_orderkey % 2 = 1
+  UNION ALL SELECT l_orderkey, l_partkey, l_linenumber + 100, 'new' FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber <= 3""",
+)
+def k2_stored(spark, folder):
+    return _built(spark, folder).read("slides")
+
+
+@query(
+    "k2_stored_detached",
+    """SELECT l_orderkey AS deck_id, CASE WHEN l_orderkey % 2 = 1 THEN l_partkey END AS slide_id, l_suppkey AS figure_id, 'old' AS origin
+  FROM lineitem WHERE l_orderkey % 3 <> 0""",
+)
+def k2_stored_detached(spark, folder):
+    return _built(spark, folder, with_figures=False).read("figures")
+
+
+@query(
+    "k3_stored_figures",
+    """SELECT l_orderkey AS deck_id, l_partkey AS slide_id, l_suppkey AS figure_id, 'old' AS origin FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_orderkey % 2 = 1
+  UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, 'new' FROM lineitem WHERE l_orderkey % 2 = 0 AND l_suppkey % 2 = 0""",
+)
+def k3_stored(spark, folder):
+    return _built(spark, folder).read("figures")
+
+
 _REPLACED = """SELECT l_orderkey AS deck_id, l_partkey AS slide_id, l_linenumber AS position, 'old' AS origin FROM lineitem WHERE l_orderkey % 5 <> 0
   UNION ALL SELECT l_orderkey, l_partkey, l_linenumber + 100, 'new' FROM lineitem WHERE l_orderkey % 10 = 0"""
 
@@ -431,6 +524,36 @@ def k5(spark, folder):
     return fresh.select("video_id", "from_sec", "to_sec", F.size("embedding").cast("bigint").alias("dims"))
 
 
+@query(
+    "k4_stored_keyframes",
+    ctes("frames", """, once AS (SELECT * FROM frames WHERE quality_score > 250 OR event_type = 'click'
+  QUALIFY row_number() OVER (PARTITION BY video_id, CAST(round(timestamp_sec * 1e6) AS BIGINT) ORDER BY quality_score <= 250, ord) = 1)
+  SELECT video_id, ord, timestamp_sec FROM once"""),
+)
+def k4_stored(spark, folder):
+    f = frames(spark, folder).select("video_id", "ord", "timestamp_sec", "quality_score", "event_type")
+    store = Store(spark, f"{shared_folder(spark)}/keyframes-{uuid.uuid4().hex}", 16)
+    first, second = f.where("quality_score > 250"), f.where("event_type = 'click'")
+    # The second batch comes three times, the last one under a new name.
+    for rows, batch in ((first, 1), (second, 2), (second, 2), (second, 3)):
+        sinks.append_unseen(store, "keyframes", rows, sinks.KEYFRAME_KEY, ("select", batch))
+    return store.read("keyframes").select("video_id", "ord", "timestamp_sec")
+
+
+@query(
+    "k5_stored_segments",
+    ctes("captions", "SELECT video_id, from_sec, to_sec, len(embedding) AS dims FROM captions"),
+)
+def k5_stored(spark, folder):
+    from cuesheet.plans.bindings import captions
+
+    c = captions(spark, folder).drop("text")
+    store = Store(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}", 16)
+    for rows, batch in ((c.where("ord % 2 = 1"), 1), (c, 2), (c, 3)):
+        sinks.append_unseen(store, "segments", rows, sinks.SEGMENT_KEY, ("captions", batch))
+    return store.read("segments").select("video_id", "from_sec", "to_sec", F.size("embedding").cast("bigint").alias("dims"))
+
+
 @query(
     "k8_stage_artifacts",
     """SELECT ['01-keyframes', '02-detect', '04-numerize'][1 + doc_id % 3] AS stage, 'V' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS label,

@@ -1,42 +1,182 @@
-"""Job log as a stream: the state of every job, kept current (T1), swept for timeouts (T2)."""
+"""Job log as a stream: the state of every job kept current (T1), timeouts by timer (T2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from cuesheet.operators.gates import JOB_STAGES
+from cuesheet.operators.jobs import timeout_sweep
+from cuesheet.sources.store import Change, Store
+
+LOG_COLUMNS = ("seq", "event_us", "event", "stage", "timeout_us", "attempt_count", "last_error")
+LOG_SCHEMA = "seq bigint, event_us bigint, event string, stage string, timeout_us bigint, attempt_count bigint, last_error string"
+STATE_SCHEMA = (
+    "job_id string, stage string, status string, timeout_us bigint, attempt_count bigint, last_error string, "
+    "failure_stage string, event_us bigint, seq bigint, timed_out boolean"
+)
+# Columns of the state that have a last writer of their own.
+COLUMNS = ("stage", "status", "timeout_us", "attempt_count", "last_error", "failure_stage")
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobStates(StatefulProcessor):
+    """State of one job: the log rows that last wrote a column of it, at most seven.
+
+    Which rows those are does not depend on the order in which events come, or on repeats. A timer
+    at the deadline turns a running job into an error when the stream's event time passes it, with no
+    event of the job; a timer at the end of ``keep`` drops a finished job.
+    """
+
+    def __init__(self, first_stage: str, keep_ms: int):
+        self.first_stage, self.keep_ms = first_stage, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", LOG_SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        winners = self._winners(known + [tuple(r[c] for c in LOG_COLUMNS) for r in rows])
+        kept = list(dict.fromkeys(winners.values()))
+        self.rows.put(kept)
+        state = self._state(winners, timerValues.getCurrentWatermarkInMs())
+        self._set_timer(state)
+        yield Row(job_id=key[0], **state)
 
-from cuesheet.operators.jobs import job_state, timeout_sweep
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        winners = self._winners([tuple(r) for r in self.rows.get()])
+        state = self._state(winners, timerValues.getCurrentWatermarkInMs())
+        if state["timed_out"] and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(winners):
+            self._set_timer(state)
+            yield Row(job_id=key[0], **state)
+        elif state["status"] in ("done", "error"):
+            self.rows.clear()
 
+    @staticmethod
+    def _mark(row: tuple) -> tuple:
+        seq, us = row[0], row[1]
+        return (us is not None, us or 0, seq is not None, seq or 0)
 
-def start_job_state(log: DataFrame, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep ``table`` (a Parquet folder) current with the state of every job in ``log``.
+    def _winners(self, rows: list[tuple]) -> dict[str, tuple]:
+        """Newest row that writes each column; ``last`` is the newest of all."""
+        out: dict[str, tuple] = {}
+        # Rows of one mark are told apart by their content, so any order of them gives one result.
+        for row in sorted(rows, key=lambda r: (self._mark(r), [(v is not None, str(v)) for v in r])):
+            event = row[2]
+            out["status"] = out["timeout_us"] = out["last"] = row
+            if event in ("create", "enter"):
+                out["stage"] = row
+            if row[5] is not None:
+                out["attempt_count"] = row
+            if event in ("complete", "fail"):
+                out["last_error"] = row
+            if event == "fail":
+                out["failure_stage"] = row
+        return out
 
-    The batch aggregation is used unchanged; its result does not depend on event order or
-    repeats. Each micro-batch writes the jobs it changed to its own folder, overwritten when a
-    batch is replayed, so the sink is exactly-once. ``read_job_state`` reads it.
+    def _state(self, winners: dict[str, tuple], watermark_ms: int) -> dict:
+        get = {c: winners.get(c) for c in COLUMNS}
+        stage = get["stage"] and (self.first_stage if get["stage"][2] == "create" else get["stage"][3])
+        status = {"create": "queued", "enter": "running", "complete": "done"}.get(get["status"][2], "error")
+        timeout = get["timeout_us"][4] if get["timeout_us"][2] == "enter" else None
+        error = get["last_error"] and (get["last_error"][6] if get["last_error"][2] == "fail" else None)
+        late = status == "running" and timeout is not None and watermark_ms >= timeout // 1000 + 1
+        return {
+            "stage": stage,
+            "status": "error" if late else status,
+            "timeout_us": None if late else timeout,
+            "attempt_count": get["attempt_count"] and get["attempt_count"][5],
+            "last_error": "timeout" if late else error,
+            "failure_stage": stage if late else get["failure_stage"] and get["failure_stage"][3],
+            "event_us": winners["last"][1],
+            "seq": winners["last"][0],
+            "timed_out": late,
+        }
+
+    def _deadline(self, winners: dict[str, tuple]) -> int | None:
+        """First whole millisecond past the time a running job may take."""
+        row = winners["timeout_us"]
+        return row[4] // 1000 + 1 if row[2] == "enter" and row[4] is not None else None
+
+    def _set_timer(self, state: dict) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state["status"] in ("done", "error"):
+            self.handle.registerTimer((state["event_us"] or 0) // 1000 + self.keep_ms)
+        elif state["status"] == "running" and state["timeout_us"] is not None:
+            self.handle.registerTimer(state["timeout_us"] // 1000 + 1)
+
+
+def job_states(log: DataFrame, late: str = "7 days", keep_days: float = 7) -> DataFrame:
+    """Changed states of the jobs of a streamed ``log``, ``timed_out`` among them.
+
+    Event time ends ``late`` behind the newest event; rows older than that are dropped by the engine, and
+    a running job whose deadline it passes becomes an error then, as ``timeout_sweep`` does at that
+    time. Finished jobs leave the state ``keep_days`` after their last event (a later event of theirs
+    would start them anew, so keep them at least as long as events may be late).
     """
+    timed = log.withColumn("event_time", F.timestamp_micros("event_us")).withWatermark("event_time", late)
+    processor = JobStates(JOB_STAGES[0], int(keep_days * 86_400_000))
+    return timed.groupBy("job_id").transformWithState(processor, STATE_SCHEMA, "Update", "EventTime")
+
+
+def start_job_state(
+    log: DataFrame,
+    store: Store,
+    checkpoint: str,
+    available_now: bool = False,
+    late: str = "7 days",
+    keep_days: float = 7,
+    compact_at: int = 8,
+) -> StreamingQuery:
+    """Keep the table ``jobs`` of ``store`` current with the state of every job in ``log``.
+
+    Each micro-batch adds the jobs it changed under its own number, so a batch that is replayed
+    changes nothing. Buckets of more than ``compact_at`` folders are merged to the newest row of each
+    job, and folders nobody names are deleted, so neither grows with the number of batches.
+    """
+    spark = log.sparkSession
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+        store.commit([Change("jobs", changed.withColumn("batch", F.lit(batch).cast("bigint")), ["job_id"])], (checkpoint, batch))
+        if store.compact("jobs", newest, compact_at):
+            store.vacuum()
 
-    writer = (
-        job_state(log).writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
+    # Timers need the store of states that keeps them; the setting is read when a query starts.
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, PROVIDER)
+    writer = job_states(log, late, keep_days).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def newest(table: DataFrame) -> DataFrame:
+    """Row of the newest batch of every job."""
+    columns = [c for c in table.columns if c != "job_id"]
+    last = F.max_by(F.struct(*columns), "batch")
+    return table.groupBy("job_id").agg(last.alias("_s")).select("job_id", "_s.*").select(*table.columns)
 
 
-def read_job_state(table: DataFrame) -> DataFrame:
-    """Newest row of every job."""
-    columns = [c for c in table.columns if c not in ("job_id", "batch")]
-    newest = F.max_by(F.struct(*columns), "batch")
-    return table.groupBy("job_id").agg(newest.alias("_s")).select("job_id", "_s.*")
+def read_job_state(store: Store) -> DataFrame:
+    """Newest state of every job."""
+    return newest(store.read("jobs")).drop("batch")
 
 
-def sweep_job_state(table: DataFrame, as_of_us: Column) -> DataFrame:
-    """State table with overdue jobs turned into errors."""
-    return timeout_sweep(read_job_state(table), as_of_us)
+def sweep_job_state(store: Store, as_of_us: Column) -> DataFrame:
+    """Stored states with jobs overdue at a later time turned into errors."""
+    return timeout_sweep(read_job_state(store).drop("timed_out"), as_of_us)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.operators import audits, decks, jobs
 from cuesheet.plans.bindings import job_events_of
 from cuesheet.sources import readers, sinks
+from cuesheet.sources.store import Store
 from cuesheet.streaming.jobs import read_job_state, start_job_state, sweep_job_state
 
 DECK = "video_id string, generator_version string, deck_id string, lang string, v2_fingerprint string, slide_count int, status string, error string, user_id string"
@@ -101,16 +102,43 @@ def test_stream_equals_batch_over_several_batches(spark, folder, tmp_path):
     events = spark.read.parquet(f"{folder}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     log = job_events_of(events)
     parts = log.randomSplit([1.0, 1.0, 1.0], 5)
-    source = str(tmp_path / "log")
+    source, store = str(tmp_path / "log"), Store(spark, str(tmp_path / "state"), 4)
     for part in [*parts, parts[0]]:
         part.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        start_job_state(stream, str(tmp_path / "state"), str(tmp_path / "progress"), available_now=True).awaitTermination()
-    table = spark.read.parquet(str(tmp_path / "state"))
+        start_job_state(stream, store, str(tmp_path / "progress"), True, "3650 days", 36500, compact_at=2).awaitTermination()
     want = jobs.job_state(log)
-    got = read_job_state(table).select(*want.columns)
+    got = read_job_state(store).select(*want.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    assert sweep_job_state(table, F.lit(1 << 60)).where("status = 'running'").isEmpty()
+    assert sweep_job_state(store, F.lit(1 << 60)).where("status = 'running'").isEmpty()
+    # Folders do not grow with the batches.
+    assert all(len(f) <= 2 for f in store.record()["tables"]["jobs"]["buckets"].values())
+
+
+def test_timeouts_come_by_timer_and_finished_jobs_leave_the_state(spark, tmp_path):
+    day = 86_400_000_000
+    base = 1_700_000_000_000_000
+    batches = [
+        [("slow", 1, base, "create", None, None, None, None), ("slow", 2, base, "enter", "detect", base + 1_500, None, None), ("done", 1, base, "enter", "build", base + day, None, None), ("done", 2, base + 1, "complete", None, None, 1, None)],
+        [("tick", 1, base + 60_000_000, "create", None, None, None, None)],
+        [("tick", 2, base + 3 * day, "enter", "detect", base + 9 * day, None, None), ("late", 1, base + 3 * day, "enter", "build", base + 9 * day, None, None)],
+    ]
+    source, store, seen = str(tmp_path / "log"), Store(spark, str(tmp_path / "state"), 4), []
+    for rows in batches:
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LOG).parquet(source)
+        query = start_job_state(stream, store, str(tmp_path / "progress"), True, "1 second", keep_days=1)
+        query.awaitTermination()
+        seen.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    log = spark.read.schema(LOG).parquet(source)
+    clock = base + 3 * day - 1_000_000
+    want = jobs.timeout_sweep(jobs.job_state(log), F.lit(clock))
+    got = read_job_state(store).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    slow = got.where("job_id = 'slow'").first()
+    assert (slow.status, slow.last_error, slow.failure_stage, slow.timed_out) == ("error", "timeout", "detect", True)
+    # The two finished jobs are out of the state, the table still has them.
+    assert seen[-1] <= seen[0] and got.count() == 4
 
 
 def test_deck_audit(spark):

@@ -55,6 +55,20 @@ def test_runs_do_not_depend_on_the_pieces(spark, piece, radius):
     assert {(r.video_id, r.ord): (r.run_no, r.n_runs) for r in folded} == want
 
 
+def test_recordings_choose_their_walk_alone(spark, monkeypatch):
+    # Small summaries leave pieces that do not tell, static stretches pass through whole pieces.
+    monkeypatch.setattr(W, "SUMMARY_ROWS", 3)
+    draw = random.Random(9)
+    want, rows = {}, []
+    for v, n in (("long", 90), ("static", 60), (None, 40), ("short", 4)):
+        hashes = [0] * n if v == "static" else [draw.getrandbits(6) if i % 30 < 20 else 0 for i in range(n)]
+        rows += [frame(v, i, h) for i, h in enumerate(hashes)]
+        for i, no in enumerate(models.runs(hashes, 2)):
+            want[v, i] = no
+    got = W.near_duplicate_runs(spark.createDataFrame(rows, FRAME), 2, 10.0, fold_rows=5, piece_rows=10).collect()
+    assert {(r.video_id, r.ord): r.run_no for r in got} == want
+
+
 def test_signed_hashes_and_missing_ones(spark):
     df = spark.createDataFrame([frame("v", 0, -1), frame("v", 1, -2), frame("v", 2, None), frame("v", 3, 0)], FRAME)
     assert {r.ord: r.run_no for r in W.near_duplicate_runs(df, 10).collect()} == {0: 0, 1: 0, 3: 1}
