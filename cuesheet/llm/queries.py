@@ -115,12 +115,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(load(spark, folder, "documents").select("doc_id", "text"), model)
-    both = pieces.packed(pieces.decode(encoded.drop("text"), model))
-    return both.select(
+    encoded = pieces.encode(load(spark, folder, "documents").select("doc_id", "text"), model, packed=True)
+    digested = encoded.select("doc_id", "ids", F.sha2("packed", 256).alias("ids_sha256"))
+    return pieces.decode(digested, model).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2("packed", 256).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
