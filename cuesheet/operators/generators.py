@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions.timeline import DECILES, decile
+from cuesheet.session import stored
 
 SAMPLE_STEP_SEC = 2.5
 SAMPLE_CAP = 10
@@ -17,7 +18,8 @@ REQUEST_HALF_SEC = 10.0
 def scene_samples(scenes: DataFrame) -> DataFrame:
     """The start of every scene plus even points inside it, denser only when it is long.
 
-    ``scenes(video_id, ord, start, end)``. All samples carry the interval of their scene.
+    ``scenes(video_id, ord, start, end)``. All samples carry the interval of their scene, and the
+    ``duration`` of their recording where scenes have it.
     """
     span = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
     cap = F.greatest(F.lit(SAMPLE_CAP), F.floor(span / LONG_SCENE_GAP_SEC) + 1)
@@ -38,23 +40,27 @@ def scene_samples(scenes: DataFrame) -> DataFrame:
             F.col("start").alias("t_start"),
             F.col("end").alias("t_end"),
             (F.col("_k") == 0).alias("is_scene_boundary"),
+            *[c for c in scenes.columns if c == "duration"],
         )
     )
 
 
 def missing_deciles(samples: DataFrame, durations: DataFrame) -> DataFrame:
-    """``(video_id, section_index, duration)`` for every tenth without a sample."""
-    live = durations.where("duration > 0")
-    grid = live.select(
-        "video_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(DECILES - 1))).alias("section_index")
-    )
-    covered = (
-        samples.select("video_id", "timestamp_sec")
-        .join(live.select("video_id", "duration"), "video_id")
-        .select("video_id", decile(F.col("timestamp_sec"), F.col("duration")).alias("section_index"))
-        .distinct()
+    """``(video_id, section_index, duration)`` for every tenth without a sample.
+
+    The tenths with samples are one set of bits a recording, combined map-side where samples carry
+    their ``duration``; the missing ones are the rest of the bits.
+    """
+    live = durations.where("duration > 0").select("video_id", "duration")
+    timed = samples if "duration" in samples.columns else samples.join(live, "video_id")
+    tenth = decile(F.col("timestamp_sec"), F.col("duration"))
+    covered = timed.where("duration > 0").groupBy("video_id").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), tenth)).alias("_covered")
     )
-    return grid.join(covered, ["video_id", "section_index"], "left_anti")
+    tenths = F.sequence(F.lit(0), F.lit(DECILES - 1))
+    bits = F.coalesce("_covered", F.lit(0))
+    missing = F.filter(tenths, lambda i: bits.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0)
+    return live.join(covered, "video_id", "left").select("video_id", F.explode(missing).alias("section_index"), "duration")
 
 
 def decile_fills(missing: DataFrame) -> DataFrame:
@@ -71,10 +77,13 @@ def decile_fills(missing: DataFrame) -> DataFrame:
 
 
 def candidates(scenes: DataFrame, durations: DataFrame) -> DataFrame:
-    """Scene samples and decile fills in one bag."""
-    samples = scene_samples(scenes)
+    """Scene samples and decile fills in one bag.
+
+    Scenes are stored, as samples and covered tenths are both made of them.
+    """
+    samples = scene_samples(stored(scenes))
     fills = decile_fills(missing_deciles(samples, durations))
-    return samples.drop("ord", "sample").unionByName(fills)
+    return samples.drop("ord", "sample", "duration").unionByName(fills)
 
 
 def with_forced_grabs(pool: DataFrame, points: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import timeline
 from cuesheet.operators import generators, ranking, windows
 from cuesheet.operators.joins import best_overlap
-from cuesheet.ordering import position, time_slot
+from cuesheet.ordering import position, previous, time_slot
 from cuesheet.plans.bindings import (
     RADIUS,
     SLOT_SEC,
@@ -257,19 +257,14 @@ fills AS (
 
 def _scenes(spark, folder):
     """Scenes of up to a few minutes, from one scene boundary of a recording to the next."""
-    cuts = frames(spark, folder).where("is_scene_boundary").select(
-        "video_id", "ord", "timestamp_sec", "duration"
+    cuts = events(spark, folder).where("event_type = 'view'").select(
+        F.col("user_id").alias("video_id"), F.col("event_id").alias("ord"), "us", (-F.col("us")).alias("_down"), (-F.col("event_id")).alias("_down_ord")
     )
-    steps = position(
-        cuts, ["video_id"], [F.col("timestamp_sec"), F.col("ord")], time_slot("timestamp_sec", SLOT_SEC), "pos"
-    )
-    after = steps.select("video_id", (F.col("pos") - 1).alias("pos"), F.col("timestamp_sec").alias("_next"))
-    length = F.col("timestamp_sec") + 60 + F.col("ord") % 400
-    return steps.join(after, ["video_id", "pos"], "left").select(
-        "video_id",
-        "ord",
-        F.col("timestamp_sec").alias("start"),
-        F.least(length, F.coalesce("_next", "duration")).alias("end"),
+    # The cut before, counted from the end, is the next one.
+    cuts = previous(cuts, ["video_id"], ["_down", "_down_ord"], F.floor(F.col("_down") / (SLOT_SEC * 1e6)), {"_next": "us"})
+    start, after = ((F.col(c) - F.col("first_us")) / F.lit(1e6) for c in ("us", "_next"))
+    return cuts.join(recordings(spark, folder), "video_id").select(
+        "video_id", "ord", start.alias("start"), F.least(start + 60 + F.col("ord") % 400, F.coalesce(after, "duration")).alias("end"), "duration"
     )
 
 
