@@ -81,8 +81,8 @@ def leaf_name(path: Column) -> Column:
 
 
 def mask_video(message: Column, video_id: Column, label: Column) -> Column:
-    """Replace the recording id by its anonymous label."""
-    return F.replace(message, video_id, label)
+    """Replace the recording id by its anonymous label; without an id the message stays."""
+    return F.when(F.coalesce(video_id, F.lit("")) == "", message).otherwise(F.replace(message, video_id, label))
 
 
 def meta_hit(text: Column) -> Column:

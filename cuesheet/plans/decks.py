@@ -370,12 +370,12 @@ def g8(spark, folder):
 
 @query(
     "u3_merged_assets",
-    """SELECT l_orderkey, 'chart' AS kind, l_partkey, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_returnflag = 'A'
+    """SELECT l_orderkey, 'chart' AS kind, l_partkey, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_returnflag <> 'R'
        UNION ALL SELECT l_orderkey, 'formula', NULL, l_suppkey FROM lineitem WHERE l_returnflag = 'R'""",
 )
 def u3(spark, folder):
     line = load(spark, folder, "lineitem")
-    charts = line.where("l_returnflag = 'A'").select("l_orderkey", F.lit("chart").alias("kind"), "l_partkey")
+    charts = line.where("l_returnflag <> 'R'").select("l_orderkey", F.lit("chart").alias("kind"), "l_partkey")
     formulas = line.where("l_returnflag = 'R'").select("l_orderkey", F.lit("formula").alias("kind"), "l_suppkey")
     return decks.merge_assets(charts, formulas)
 

@@ -9,6 +9,7 @@ from cuesheet.functions.text import edit_share
 from cuesheet.operators import gates, ranking
 from cuesheet.plans.bindings import boxes, ctes, frames, slides
 from cuesheet.plans.registry import load, query
+from cuesheet.sources import readers
 
 # --- summaries: documents with their labels -------------------------------------------------
 
@@ -52,6 +53,62 @@ def s2(spark, folder):
     return gated_summaries(spark, folder).where("gate_reason is null").select("video_id", "lang")
 
 
+# Documents as nested summaries. Every 7th to 13th is broken in a way of its own.
+_NESTED = """WITH judged AS (SELECT doc_id, printf('%011d', doc_id) AS video_id, lang, text, CAST(doc_id % 4 AS INTEGER) AS n,
+  CASE WHEN doc_id % 7 = 0 THEN '$.core.domain' WHEN doc_id % 11 = 0 THEN '$.segments'
+       WHEN doc_id % 13 = 0 AND doc_id % 4 >= 2 THEN '$.segments.sections[1].relevance_pct' WHEN doc_id % 17 = 0 THEN '$' END AS bad_path FROM documents)
+"""
+
+
+def _nested(spark, folder):
+    d, n = F.col("doc_id"), F.col("doc_id") % 4
+    core = F.struct(
+        F.lit("one").alias("one_liner"), F.when(d % 7 != 0, F.lit("d")).alias("domain"), F.lit("deep").alias("depth_level"),
+        F.lit("talk").alias("content_type"), F.lit("all").alias("target_audience"),
+    )
+    wrong = d % 13 == 0
+
+    def section(i):
+        pct = F.to_variant_object(F.array(i * 10))
+        share = F.when(wrong & (i == 1), F.parse_json(F.lit('"high"'))).otherwise(F.try_variant_get(pct, "$[0]", "variant"))
+        return F.struct(
+            (i * 60.5).alias("from_sec"), (i * 60.5 + 30).alias("to_sec"), F.concat(F.lit("part "), i.cast("string")).alias("title"),
+            F.lit(None).cast("string").alias("summary"), share.alias("relevance_pct"),
+        )
+
+    sections = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n), section)
+    segments = F.when(d % 11 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct(sections.alias("sections"))))
+    # A field that is null is left out of the text.
+    head = F.to_json(
+        F.struct(
+            F.format_string("%011d", d).alias("video_id"), F.lit("v2").alias("template_version"), F.col("lang").alias("source_language"),
+            F.lit("pass").alias("quality_flag"), F.lit(True).alias("transcript_used"), core.alias("core"), F.struct(F.lit("x").alias("other")).alias("analysis"),
+        )
+    )
+    whole = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(', "segments": '), segments, F.when(d % 17 == 0, F.lit(",")).otherwise(F.lit("}")))
+    return load(spark, folder, "documents").select(whole.alias("raw"), F.format_string("%011d", d).alias("id"))
+
+
+@query(
+    "s2_summary_sections",
+    _NESTED
+    + """SELECT video_id, CAST(i AS INTEGER) AS index, i * 60.5::DOUBLE AS from_sec, i * 60.5::DOUBLE + 30 AS to_sec, 'part ' || i AS title, i * 10::DOUBLE AS relevance_pct
+FROM judged, unnest(range(0, n)) AS g(i) WHERE bad_path IS NULL""",
+)
+def s2_sections(spark, folder):
+    good, _ = readers.parse_summaries(_nested(spark, folder))
+    return readers.summary_sections(good).drop("summary")
+
+
+@query(
+    "s2_summary_quarantine",
+    _NESTED + "SELECT video_id, CASE WHEN doc_id % 17 = 0 THEN '$' ELSE bad_path END AS bad_path FROM judged WHERE bad_path IS NOT NULL",
+)
+def s2_quarantine(spark, folder):
+    _, bad = readers.parse_summaries(_nested(spark, folder))
+    return bad.select(F.col("id").alias("video_id"), "bad_path")
+
+
 @query(
     "p15_input_unsuitable",
     _SUMMARIES

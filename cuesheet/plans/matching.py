@@ -62,14 +62,13 @@ def j3(spark, folder):
     ctes(
         "slides topic_points",
         """, found AS (SELECT f.video_id, f.ord, min(p.ord) AS topic_ord FROM frames f LEFT JOIN topic_points p
-  ON p.video_id = f.video_id AND abs(f.timestamp_sec - p.timestamp_sec) <= 3600 WHERE f.event_type <> 'signup' GROUP BY f.video_id, f.ord)
+  ON p.video_id = f.video_id AND abs(f.timestamp_sec - p.timestamp_sec) <= 3600 GROUP BY f.video_id, f.ord)
 SELECT f.video_id, f.ord, f.topic_ord, round(p.timestamp_sec, 6) AS topic_sec, f.topic_ord IS NOT NULL AS is_topic_aligned
 FROM found f LEFT JOIN topic_points p ON p.video_id = f.video_id AND p.ord = f.topic_ord""",
     ),
 )
 def j4(spark, folder):
-    others = frames(spark, folder).where("event_type <> 'signup'")
-    return joins.topic_alignment(others, topic_points(spark, folder), 3600.0).select(
+    return joins.topic_alignment(frames(spark, folder), topic_points(spark, folder), 3600.0).select(
         "video_id", "ord", "topic_ord", F.round("topic_sec", 6).alias("topic_sec"), "is_topic_aligned"
     )
 

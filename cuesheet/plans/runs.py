@@ -10,7 +10,7 @@ from cuesheet.functions import text, timeline
 from cuesheet.operators import gates, jobs
 from cuesheet.plans.bindings import ctes, events, frames, job_events, job_events_of
 from cuesheet.plans.registry import load, query
-from cuesheet.session import shared_folder
+from cuesheet.session import shared_folder, stored
 from cuesheet.sources import readers, sinks
 from cuesheet.sources.store import Change, Store
 from cuesheet.streaming.jobs import read_job_state, start_job_state
@@ -323,6 +323,27 @@ def a19(spark, folder):
     ).select("stage", F.round("p95", 4).alias("p95"))
 
 
+# Sketches are stored by stage and day and merged for the first halves of the years; the rank of the
+# result is counted in the values themselves.
+@query(
+    "a19_sketched_p95",
+    """SELECT o_orderpriority AS stage, count(o_totalprice) AS n_values, true AS within_error FROM orders
+       WHERE month(o_orderdate) <= 6 GROUP BY 1""",
+)
+def a19_sketched(spark, folder):
+    orders = load(spark, folder, "orders").withColumnRenamed("o_orderpriority", "stage")
+    daily = stored(jobs.quantile_sketches(orders, ["stage", "o_orderdate"], "o_totalprice"))
+    asked = F.month("o_orderdate") <= 6
+    p95 = jobs.sketched_quantile(daily.where(asked), ["stage"], 0.95, "p95")
+    ranks = orders.where(asked).join(p95, "stage").groupBy("stage").agg(
+        F.max("n_values").alias("n_values"),
+        (F.count_if(F.col("o_totalprice") < F.col("p95")) / F.max("n_values")).alias("below"),
+        (F.count_if(F.col("o_totalprice") <= F.col("p95")) / F.max("n_values")).alias("to"),
+    )
+    near = (F.col("below") <= 0.95 + jobs.RANK_ERROR) & (F.col("to") >= 0.95 - jobs.RANK_ERROR)
+    return ranks.select("stage", "n_values", near.alias("within_error"))
+
+
 # --- deck tables: orders as decks, lines as slides and figures ------------------------------
 
 
@@ -579,12 +600,13 @@ def f14(spark, folder):
 
 @query(
     "f15_masked_messages",
-    "SELECT page_id, replace(url, lang, 'V' || page_id) AS message FROM (SELECT *, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages) WHERE lang <> ''",
+    """SELECT page_id, CASE WHEN coalesce(lang, '') = '' THEN url ELSE replace(url, lang, 'V' || page_id) END AS message
+       FROM (SELECT *, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages)""",
 )
 def f15(spark, folder):
     p = load(spark, folder, "pages").withColumn("lang", F.regexp_extract("html", 'lang="([a-z]+)"', 1))
     label = F.concat(F.lit("V"), F.col("page_id").cast("string"))
-    return p.where("lang <> ''").select("page_id", text.mask_video(F.col("url"), F.col("lang"), label).alias("message"))
+    return p.select("page_id", text.mask_video(F.col("url"), F.col("lang"), label).alias("message"))
 
 
 # --- ingest: JSON text built from the given rows --------------------------------------------

@@ -20,7 +20,7 @@ SAMPLE_CHARS = 4000
 def _items(spark, folder):
     return load(spark, folder, "documents").select(
         "doc_id",
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat("lang", F.lit(" best tutorial news")).alias("description"),
         F.col("text").alias("transcript"),
     )
@@ -48,7 +48,7 @@ scores AS (SELECT doc_id, {', '.join(_score(t) for t in classify.DECK_TYPES)} FR
 """
 
 
-_DOCS = "SELECT doc_id, left(text, 80) AS title, lang || ' best tutorial news' AS description, text AS transcript FROM documents"
+_DOCS = "SELECT doc_id, split_part(text, chr(10), 1) AS title, lang || ' best tutorial news' AS description, text AS transcript FROM documents"
 _PAGES = "SELECT page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url AS description, html AS transcript FROM pages"
 _LIST = "[" + ", ".join(f"struct_pack(neg := -{t}, rank := {i}, type := '{t}')" for i, t in enumerate(classify.DECK_TYPES)) + "]"
 _PICK = f""", ranked AS (SELECT *, list_sort({_LIST}) AS r, {' + '.join(classify.DECK_TYPES)} AS total FROM scores),
@@ -184,12 +184,12 @@ def f16(spark, folder):
 @query(
     "f17_question_and_ranking",
     r"""SELECT doc_id, CAST(length(text) - length(replace(text, '?', '')) AS INTEGER) AS questions,
-         regexp_matches(left(text, 80), '(?i)\b(?:top\s*)?\d{1,2}\b|\d{1,2}\s*(?:가지|개|선|위)') AS ranking FROM documents""",
+         regexp_matches(text, '(?i)\b(?:top\s*)?\d{1,2}\b|\d{1,2}\s*(?:가지|개|선|위)') AS ranking FROM documents""",
 )
 def f17(spark, folder):
     return load(spark, folder, "documents").select(
         "doc_id", text.question_count(F.col("text")).alias("questions"),
-        text.has_ranking_number(F.substring("text", 1, 80)).alias("ranking"),
+        text.has_ranking_number(F.col("text")).alias("ranking"),
     )
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.structs import is_json
 from cuesheet.operators.ranking import strongest_boxes
+from cuesheet.sources import shapes
 
+VIDEO_ID_CHARS = 11
 SEGMENTS = "array<struct<from_sec:double,to_sec:double,text:string>>"
 BOOK = (
     "struct<collection_id:string,center_goal:string,segments:array<struct<video_id:string,"
@@ -33,18 +35,70 @@ BOXES = (
     "struct<image:struct<w:int,h:int>,model_version:string,boxes:array<struct<bbox:"
     "struct<x:double,y:double,w:double,h:double>,cls:string,score:double>>>"
 )
-SUMMARY_COLUMNS = (
-    "video_id string, template_version string, source_language string, quality_flag string, "
-    "transcript_used boolean, core struct<one_liner:string,domain:string,depth_level:string,"
-    "content_type:string,target_audience:string>, analysis struct<core_argument:string,"
-    "key_concepts:array<struct<term:string,definition:string>>>, segments struct<sections:"
-    "array<struct<idx:int,from_sec:double,to_sec:double,title:string,summary:string,"
+SUMMARY = (
+    "struct<video_id:string,template_version:string,source_language:string,quality_flag:string,"
+    "transcript_used:boolean,core:struct<one_liner:string,domain:string,depth_level:string,"
+    "content_type:string,target_audience:string>,analysis:struct<core_argument:string,"
+    "key_concepts:array<struct<term:string,definition:string>>,entities:array<struct<name:string,type:string>>>,"
+    "segments:struct<sections:array<struct<idx:int,from_sec:double,to_sec:double,title:string,summary:string,"
     "relevance_pct:double,key_points:array<struct<text:string,timestamp_sec:double>>>>,"
-    "atoms:array<struct<idx:int,type:string,text:string,timestamp_sec:double>>>, "
-    "collection_relevance_pct int"
+    "atoms:array<struct<idx:int,type:string,text:string,timestamp_sec:double,entity_refs:array<string>>>>,"
+    "mandala_relevance_pct:double>"
+)
+_MAYBE = {"required": False, "nullable": True}
+# Fields of a summary that are consumed, in the order they are checked.
+SUMMARY_SHAPE = shapes.record(
+    {
+        "video_id": shapes.text(lambda v: F.length(v) == VIDEO_ID_CHARS),
+        "template_version": shapes.text(lambda v: v == "v2"),
+        "source_language": shapes.text(**_MAYBE),
+        "quality_flag": shapes.text(lambda v: v == "pass"),
+        "transcript_used": shapes.flag(True),
+        "core": shapes.record({n: shapes.text() for n in ("one_liner", "domain", "depth_level", "content_type", "target_audience")}),
+        "analysis": shapes.record(
+            {
+                "core_argument": shapes.text(required=False),
+                "key_concepts": shapes.listed(shapes.record({"term": shapes.text(), "definition": shapes.text()}), **_MAYBE),
+                "entities": shapes.listed(shapes.record({"name": shapes.text(), "type": shapes.text()}), **_MAYBE),
+            }
+        ),
+        "segments": shapes.record(
+            {
+                "sections": shapes.listed(
+                    shapes.record(
+                        {
+                            "idx": shapes.number(**_MAYBE),
+                            "from_sec": shapes.number(),
+                            "to_sec": shapes.number(),
+                            "title": shapes.text(),
+                            "summary": shapes.text(**_MAYBE),
+                            "relevance_pct": shapes.number(),
+                            "key_points": shapes.listed(
+                                shapes.record({"text": shapes.text(), "timestamp_sec": shapes.number(**_MAYBE)}), **_MAYBE
+                            ),
+                        }
+                    ),
+                    **_MAYBE,
+                ),
+                "atoms": shapes.listed(
+                    shapes.record(
+                        {
+                            "idx": shapes.number(**_MAYBE),
+                            "type": shapes.text(),
+                            "text": shapes.text(),
+                            "timestamp_sec": shapes.number(**_MAYBE),
+                            "entity_refs": shapes.listed(shapes.text(), **_MAYBE),
+                        }
+                    ),
+                    **_MAYBE,
+                ),
+            },
+            **_MAYBE,
+        ),
+        "mandala_relevance_pct": shapes.number(**_MAYBE),
+    }
 )
 MANIFEST_VERSIONS = ("1.0",)
-VIDEO_ID_CHARS = 11
 
 
 def load_captions(captions: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +118,16 @@ def load_captions(captions: DataFrame, videos: DataFrame) -> tuple[DataFrame, Da
     return good.select("external_id", F.col("ord").cast("bigint").alias("ord"), "_s.*"), bad
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SUMMARY_COLUMNS).parquet(path)
+def parse_summaries(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries whose consumed fields all fit; others in quarantine with ``bad_path``.
+
+    The path is that of the first field, in document order, that is missing or of a wrong kind:
+    ``$.segments.sections[2].title``; ``$`` is a text that is not one JSON value. Other fields pass.
+    """
+    parsed = texts.withColumn("_v", F.try_parse_json("raw"))
+    judged = parsed.withColumn("bad_path", shapes.first_bad(F.col("_v"), SUMMARY_SHAPE)).drop("_v")
+    good = judged.where("bad_path is null").select(F.from_json("raw", SUMMARY).alias("doc")).select("doc.*")
+    return good, judged.where("bad_path is not null")
 
 
 def summary_sections(summaries: DataFrame) -> DataFrame:

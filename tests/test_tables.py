@@ -175,3 +175,38 @@ def test_unreadable_box_replies_are_quarantined(spark):
     rows = [(1, '{"image": {"w": 9, "h": 9}, "boxes": [{"bbox": {"x": 1, "y": 1, "w": 2, "h": 2}, "cls": "table", "score": 0.5}]}'), (2, '{"boxes": ['), (3, None)]
     good, bad = readers.ingest_boxes(spark.createDataFrame(rows, "frame_id long, raw string"))
     assert [r.frame_id for r in good.collect()] == [1] and {r.frame_id for r in bad.collect()} == {2, 3}
+
+
+def test_merged_sketches_stay_within_their_error(spark):
+    import numpy as np
+
+    values = np.random.default_rng(3).lognormal(size=20_000)
+    df = spark.createDataFrame([("g", i % 50, float(v)) for i, v in enumerate(values)] + [("none", 0, None)], "g string, day int, v double")
+    daily = jobs.quantile_sketches(df, ["g", "day"], "v")
+    for q in (0.05, 0.5, 0.95):
+        got = {r.g: r for r in jobs.sketched_quantile(daily, ["g"], q, "p").collect()}
+        assert abs((values <= got["g"].p).mean() - q) <= jobs.RANK_ERROR and got["g"].n_values == 20_000
+        assert got["none"].p is None and got["none"].n_values == 0
+
+
+def _summary(**changes):
+    doc = {
+        "video_id": "12345678901", "template_version": "v2", "quality_flag": "pass", "transcript_used": True,
+        "core": {c: "x" for c in ("one_liner", "domain", "depth_level", "content_type", "target_audience")}, "analysis": {"entities": None, "more": [1]},
+        "segments": {"sections": [{"from_sec": 0, "to_sec": 9.5, "title": "a", "relevance_pct": 50, "key_points": [{"text": "k"}]}], "atoms": [{"type": "fact", "text": "t"}]},
+    }
+    return json.dumps({**doc, **changes})
+
+
+def test_summaries_name_the_first_bad_path(spark):
+    cases = [
+        (_summary(), None), (_summary(segments=None), None), (_summary(segments={}), None), ("{", "$"), (None, "$"), ("[]", "$"),
+        (_summary(video_id="short"), "$.video_id"), (_summary(video_id=12345678901), "$.video_id"), (_summary(template_version="v1", core=3), "$.template_version"),
+        (_summary(transcript_used=False), "$.transcript_used"), (_summary(analysis=None), "$.analysis"), (_summary(analysis={"core_argument": None}), "$.analysis.core_argument"),
+        (_summary(core={"one_liner": "x"}), "$.core.domain"), (_summary(segments=[]), "$.segments"), (_summary(segments={"sections": {}}), "$.segments.sections"),
+        (_summary(segments={"sections": [{"from_sec": 0, "to_sec": 1, "title": "a", "relevance_pct": 1}, {"from_sec": "0"}]}), "$.segments.sections[1].from_sec"),
+        (_summary(segments={"atoms": [{"type": "fact", "text": "t", "entity_refs": ["a", 2]}]}), "$.segments.atoms[0].entity_refs[1]"),
+    ]
+    good, bad = readers.parse_summaries(spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string"))
+    assert {r.i: r.bad_path for r in bad.collect()} == {i: p for i, (_, p) in enumerate(cases) if p}
+    assert good.count() == 3 and [(r["index"], r.to_sec) for r in readers.summary_sections(good).collect()] == [(0, 9.5)]
