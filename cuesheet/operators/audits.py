@@ -85,17 +85,42 @@ def audit_slides(facts: DataFrame) -> DataFrame:
     )
 
 
+# Which files of a deck are pictures, and which are charts.
+MEDIA_FOLDER = "ppt/media/"
+PICTURE_FILE = r"(?i)\.(png|jpg|jpeg|gif|emf)$"
+CHART_FILE = r"^ppt/charts/chart\d+\.xml$"
+
+
+def media_counts(files: DataFrame) -> DataFrame:
+    """``images`` (pictures), ``n_media`` and ``n_charts`` of every deck from its ``files(deck_id, name)``."""
+    name = F.col("name")
+    media = F.startswith(name, F.lit(MEDIA_FOLDER))
+    kinds = {"images": media & name.rlike(PICTURE_FILE), "n_media": media, "n_charts": name.rlike(CHART_FILE)}
+    # A name stands for one file, however often it is listed.
+    return files.select("deck_id", "name").distinct().groupBy("deck_id").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+
+
 def deck_verdicts(
-    audited: DataFrame, min_slides: int = MIN_SLIDES, lenient: bool = False, required_images: int = 0
+    audited: DataFrame,
+    min_slides: int = MIN_SLIDES,
+    lenient: bool = False,
+    required_images: int = 0,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """Per deck the number of hard problems and warnings, and whether it passes."""
+    """Per deck the number of hard problems and warnings, and whether it passes.
+
+    ``images`` counts the picture files of the deck; without ``files`` a deck has none.
+    """
     pages = audited.groupBy("deck_id").agg(
         F.count(F.lit(1)).alias("n_slides"),
         F.count_if(F.col("n_overflow") > 0).alias("overflow_slides"),
         F.count_if(F.col("meta_hit").isNotNull()).alias("meta_slides"),
         F.count_if(F.col("density").isNotNull()).alias("thin_slides"),
-        F.count_if("has_img").alias("images"),
     )
+    if files is None:
+        pages = pages.withColumn("images", F.lit(0).cast("bigint"))
+    else:
+        pages = pages.join(media_counts(files).select("deck_id", "images"), "deck_id", "left").fillna(0, ["images"])
     hard = (
         F.col("overflow_slides")
         + F.col("meta_slides")
@@ -106,20 +131,22 @@ def deck_verdicts(
     return pages.withColumns({"hard_problems": hard, "passes": hard == 0})
 
 
-def text_stats(facts: DataFrame) -> DataFrame:
-    """Characters per slide without the cover (which counts when it is the only slide)."""
+def text_stats(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Characters per slide without the cover (which counts when it is the only slide), slides with a
+    table, and how many charts and media files a deck has."""
     cover = facts.groupBy("deck_id").agg(
         F.min("slide_no").alias("_first"), F.count(F.lit(1)).alias("n_slides")
     )
     joined = facts.join(cover, "deck_id")
     counted = F.when((F.col("slide_no") != F.col("_first")) | (F.col("n_slides") == 1), F.col("chars"))
-    return joined.groupBy("deck_id").agg(
+    stats = joined.groupBy("deck_id").agg(
         F.max("n_slides").alias("n_slides"),
         F.min(counted).alias("min_chars"),
         F.max(counted).alias("max_chars"),
         F.count_if("has_tbl").alias("table_slides"),
-        F.count_if("has_img").alias("image_slides"),
     )
+    counts = media_counts(files).select("deck_id", "n_media", "n_charts")
+    return stats.join(counts, "deck_id", "left").fillna(0, ["n_media", "n_charts"])
 
 
 # Least items per deck type and field for a deck of full length.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.operators.joins import nearest
+from cuesheet.operators.ranking import LISTICLE_DEEP_CAP
 from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, time_slot
 
 # --- resource bundles -----------------------------------------------------------------------
@@ -90,16 +91,17 @@ def merge_assets(charts: DataFrame, formulas: DataFrame) -> DataFrame:
 
 # The steps of each recipe as (layout, heading, field, rule, cap). Rules: always;
 # if (the field is given); each (a slide per item); fours (a slide per four items); many (the
-# field has four or more items); sections (each section with what it holds).
+# field has four or more items); sections (each section with what it holds); or_sections (always,
+# made of the first sections where the field is not given).
 RECIPES = {
     "explainer": [
         ("title", "EXPLAINER", "", "always", 1),
-        ("keyPoints", "Overview", "overview", "always", 1),
+        ("keyPoints", "Overview", "overview", "or_sections", 4),
         ("agenda", "Roadmap", "sections", "many", 1),
         ("conceptDeep", "Section", "sections", "sections", 8),
         ("comparisonTable", "Compare", "compare", "if", 1),
         ("kpis", "By the numbers", "metrics", "if", 1),
-        ("keyPoints", "Essence", "essence", "always", 1),
+        ("keyPoints", "Essence", "essence", "or_sections", 4),
         ("qna", "Go deeper", "curiosity", "if", 1),
         ("closingCTA", "Close", "actions", "always", 1),
     ],
@@ -181,6 +183,19 @@ RECIPES = {
 }
 
 
+# Most entries of a list that a deck is made of. A ranking of ten shows eight.
+LIST_CAPS = {
+    "sections": 8,
+    "steps": 8,
+    "options": 6,
+    "themes": 6,
+    "angles": 6,
+    "items": LISTICLE_DEEP_CAP,
+    "phases": 6,
+    "arguments": 6,
+}
+
+
 def _recipe_steps(deck_type: Column) -> Column:
     def step(layout: str, heading: str, field: str, rule: str, cap: int) -> Column:
         return F.struct(
@@ -203,12 +218,18 @@ def outline(contents: DataFrame) -> DataFrame:
     """
     sizes = F.col("sizes")
 
+    # Lists are cut before anything is made of them; the pairs of one slide are four at most.
+    caps = F.create_map(*[F.lit(v) for item in LIST_CAPS.items() for v in item])
+
     def size_of(step: Column) -> Column:
-        return F.coalesce(sizes[step["field"]], F.lit(0))
+        given = F.coalesce(sizes[step["field"]], F.lit(0))
+        borrowed = F.least(step["cap"], F.coalesce(sizes["sections"], F.lit(0)))
+        lacking = (step["rule"] == "or_sections") & sizes[step["field"]].isNull()
+        return F.when(lacking, borrowed).otherwise(F.least(given, F.coalesce(caps[step["field"]], given)))
 
     def repeats(step: Column) -> Column:
         return (
-            F.when(step["rule"] == "always", 1)
+            F.when(step["rule"].isin("always", "or_sections"), 1)
             .when(step["rule"] == "if", sizes[step["field"]].isNotNull().cast("int"))
             .when(step["rule"] == "many", (size_of(step) >= 4).cast("int"))
             .when(step["rule"] == "each", F.least(step["cap"], size_of(step)))
@@ -217,9 +238,10 @@ def outline(contents: DataFrame) -> DataFrame:
         )
 
     def slide(layout: Column, step: Column, item: Column) -> Column:
+        n = size_of(step)
+        own = F.when(step["rule"] == "fours", F.least(F.lit(4), n - (item - 1) * 4)).otherwise(n)
         return F.struct(
-            layout.alias("layout"), step["heading"].alias("heading"), item.cast("int").alias("item"),
-            size_of(step).alias("n_items"),
+            layout.alias("layout"), step["heading"].alias("heading"), item.cast("int").alias("item"), own.cast("int").alias("n_items")
         )
 
     def plain(step: Column) -> Column:

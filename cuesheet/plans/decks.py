@@ -254,11 +254,78 @@ def l10(spark, folder):
 
 _FIELDS = sorted({s[2] for steps in decks.RECIPES.values() for s in steps} - {""})
 _TYPES = "[" + ", ".join(f"'{t}'" for t in DECK_TYPES) + "]"
-_STEPS = ", ".join(
-    "('{}', {}, '{}', '{}', '{}', '{}', {})".format(t, i, s[0], s[1].replace("'", "''"), *s[2:])
-    for t, steps in decks.RECIPES.items()
-    for i, s in enumerate(steps)
-)
+# Written out, so that a wrong entry of the library's table shows.
+_STEPS = """
+  ('explainer', 0, 'title', 'EXPLAINER', '', 'always', 1),
+  ('explainer', 1, 'keyPoints', 'Overview', 'overview', 'or_sections', 4),
+  ('explainer', 2, 'agenda', 'Roadmap', 'sections', 'many', 1),
+  ('explainer', 3, 'conceptDeep', 'Section', 'sections', 'sections', 8),
+  ('explainer', 4, 'comparisonTable', 'Compare', 'compare', 'if', 1),
+  ('explainer', 5, 'kpis', 'By the numbers', 'metrics', 'if', 1),
+  ('explainer', 6, 'keyPoints', 'Essence', 'essence', 'or_sections', 4),
+  ('explainer', 7, 'qna', 'Go deeper', 'curiosity', 'if', 1),
+  ('explainer', 8, 'closingCTA', 'Close', 'actions', 'always', 1),
+  ('howto', 0, 'title', 'HOW-TO', '', 'always', 1),
+  ('howto', 1, 'keyPoints', 'Overview', 'overview', 'always', 1),
+  ('howto', 2, 'keyPoints', 'Prerequisites', 'prereq', 'if', 1),
+  ('howto', 3, 'processSteps', 'Steps', 'steps', 'always', 1),
+  ('howto', 4, 'conceptDeep', 'STEP', 'steps', 'each', 8),
+  ('howto', 5, 'comparisonTable', 'Options', 'tools', 'if', 1),
+  ('howto', 6, 'twoColumn', 'Tips', 'pitfalls', 'if', 1),
+  ('howto', 7, 'keyPoints', 'Troubleshooting', 'troubleshoot', 'if', 1),
+  ('howto', 8, 'kpis', 'Results', 'metrics', 'if', 1),
+  ('howto', 9, 'closingCTA', 'Close', 'actions', 'always', 1),
+  ('review', 0, 'title', 'REVIEW', '', 'always', 1),
+  ('review', 1, 'keyPoints', 'Verdict', 'summary', 'always', 1),
+  ('review', 2, 'keyPoints', 'Criteria', 'criteria', 'if', 1),
+  ('review', 3, 'comparisonTable', 'Spec', 'table', 'if', 1),
+  ('review', 4, 'conceptDeep', 'Option', 'options', 'each', 6),
+  ('review', 5, 'twoColumn', 'Pros & Cons', 'pros', 'if', 1),
+  ('review', 6, 'kpis', 'Scores', 'scores', 'if', 1),
+  ('review', 7, 'keyPoints', 'Who for', 'useCases', 'if', 1),
+  ('review', 8, 'quote', 'Quote', 'quote', 'if', 1),
+  ('review', 9, 'closingCTA', 'Close', 'recommend', 'always', 1),
+  ('interview', 0, 'title', 'CONVERSATION', '', 'always', 1),
+  ('interview', 1, 'keyPoints', 'Takeaways', 'takeaways', 'always', 1),
+  ('interview', 2, 'keyPoints', 'Context', 'speaker', 'if', 1),
+  ('interview', 3, 'conceptDeep', 'Theme', 'themes', 'each', 6),
+  ('interview', 4, 'qna', 'Q&A', 'qa', 'fours', 1),
+  ('interview', 5, 'quote', 'Quote', 'quote', 'if', 1),
+  ('interview', 6, 'keyPoints', 'So what', 'implications', 'if', 1),
+  ('interview', 7, 'closingCTA', 'Close', 'actions', 'always', 1),
+  ('news', 0, 'title', 'BRIEFING', '', 'always', 1),
+  ('news', 1, 'keyPoints', 'What happened', 'what', 'always', 1),
+  ('news', 2, 'kpis', 'By the numbers', 'metrics', 'if', 1),
+  ('news', 3, 'twoColumn', 'Why', 'causes', 'if', 1),
+  ('news', 4, 'conceptDeep', 'Angle', 'angles', 'each', 6),
+  ('news', 5, 'timeline', 'Timeline', 'timeline', 'if', 1),
+  ('news', 6, 'twoColumn', 'Reactions', 'reactions', 'if', 1),
+  ('news', 7, 'keyPoints', 'Outlook', 'outlook', 'if', 1),
+  ('news', 8, 'closingCTA', 'Close', 'watch', 'always', 1),
+  ('listicle', 0, 'title', 'RANKING', '', 'always', 1),
+  ('listicle', 1, 'keyPoints', 'Criteria', 'criteria', 'if', 1),
+  ('listicle', 2, 'listRanked', 'Ranking', 'items', 'always', 1),
+  ('listicle', 3, 'conceptDeep', 'Item', 'items', 'each', 8),
+  ('listicle', 4, 'comparisonTable', 'Head-to-head', 'topCompare', 'if', 1),
+  ('listicle', 5, 'closingCTA', 'Close', 'actions', 'always', 1),
+  ('story', 0, 'title', 'CASE STUDY', '', 'always', 1),
+  ('story', 1, 'keyPoints', 'Context', 'background', 'always', 1),
+  ('story', 2, 'timeline', 'Arc', 'timeline', 'if', 1),
+  ('story', 3, 'conceptDeep', 'Phase', 'phases', 'each', 6),
+  ('story', 4, 'twoColumn', 'Lessons', 'turning', 'if', 1),
+  ('story', 5, 'quote', 'Quote', 'quote', 'if', 1),
+  ('story', 6, 'kpis', 'Outcome', 'metrics', 'if', 1),
+  ('story', 7, 'keyPoints', 'Lessons', 'lessons', 'if', 1),
+  ('story', 8, 'closingCTA', 'Close', 'actions', 'always', 1),
+  ('talk', 0, 'title', 'KEYNOTE', '', 'always', 1),
+  ('talk', 1, 'keyPoints', 'Thesis', 'thesis', 'always', 1),
+  ('talk', 2, 'kpis', 'Evidence', 'metrics', 'if', 1),
+  ('talk', 3, 'conceptDeep', 'Argument', 'arguments', 'each', 6),
+  ('talk', 4, 'comparisonTable', 'Compare', 'compare', 'if', 1),
+  ('talk', 5, 'quote', 'Quote', 'quote', 'if', 1),
+  ('talk', 6, 'processSteps', 'How', 'plan', 'if', 1),
+  ('talk', 7, 'keyPoints', 'Impact', 'impact', 'if', 1),
+  ('talk', 8, 'closingCTA', 'Close', 'asks', 'always', 1)"""
 _CONTENT = f"""WITH fields(field, idx) AS (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(_FIELDS))}),
 contents AS (SELECT doc_id AS deck_id, {_TYPES}[1 + doc_id % 8] AS type FROM documents),
 sizes AS (SELECT deck_id, field, CAST((deck_id + idx) % 10 AS INTEGER) AS n FROM contents, fields WHERE (deck_id + idx) % 3 <> 0)"""
@@ -289,10 +356,13 @@ def contents(spark, folder):
     "g6_recipe_outlines",
     _CONTENT
     + f""", steps(type, step, layout, heading, field, rule, cap) AS (VALUES {_STEPS}),
-wide AS (SELECT c.deck_id, s.*, coalesce(z.n, 0) AS n_items, CASE rule WHEN 'always' THEN 1 WHEN 'if' THEN (z.n IS NOT NULL)::INT
+wide AS (SELECT c.deck_id, s.*, CAST(CASE WHEN rule = 'or_sections' AND z.n IS NULL THEN least(4, coalesce(m.n, 0))
+    WHEN s.field IN ('sections', 'steps', 'items') THEN least(8, coalesce(z.n, 0)) WHEN s.field IN ('options', 'themes', 'angles', 'phases', 'arguments') THEN least(6, coalesce(z.n, 0))
+    ELSE coalesce(z.n, 0) END AS INTEGER) AS n_items, CASE rule WHEN 'always' THEN 1 WHEN 'or_sections' THEN 1 WHEN 'if' THEN (z.n IS NOT NULL)::INT
     WHEN 'many' THEN (coalesce(z.n, 0) >= 4)::INT WHEN 'fours' THEN ceil(coalesce(z.n, 0) / 4)::INT ELSE least(cap, coalesce(z.n, 0)) END AS reps
-  FROM contents c JOIN steps s ON s.type = c.type LEFT JOIN sizes z ON z.deck_id = c.deck_id AND z.field = s.field),
-rows AS (SELECT deck_id, step, layout, heading, n_items, CAST(k AS INTEGER) AS item, 0 AS sub FROM wide, unnest(range(1, reps + 1)) AS g(k)
+  FROM contents c JOIN steps s ON s.type = c.type LEFT JOIN sizes z ON z.deck_id = c.deck_id AND z.field = s.field
+  LEFT JOIN sizes m ON m.deck_id = c.deck_id AND m.field = 'sections'),
+rows AS (SELECT deck_id, step, layout, heading, CASE WHEN rule = 'fours' THEN CAST(least(4, n_items - (k - 1) * 4) AS INTEGER) ELSE n_items END AS n_items, CAST(k AS INTEGER) AS item, 0 AS sub FROM wide, unnest(range(1, reps + 1)) AS g(k)
   UNION ALL
   SELECT deck_id, step, CASE WHEN (k - 1) % 3 = 0 THEN 'comparisonTable' ELSE 'keyPoints' END, heading, n_items, CAST(k AS INTEGER), 1
   FROM wide, unnest(range(1, reps + 1)) AS g(k) WHERE rule = 'sections' AND (k - 1) % 3 < 2)
@@ -302,9 +372,22 @@ def g6(spark, folder):
     return decks.outline(contents(spark, folder))
 
 
-_MINIMUMS = ", ".join(
-    f"('{t}', '{f}', {m})" for t, fields in audits.CONTENT_MINIMUMS.items() for f, m in fields.items()
-)
+_MINIMUMS = """
+  ('explainer', 'sections', 6),
+  ('howto', 'steps', 5),
+  ('howto', 'overview', 3),
+  ('review', 'options', 3),
+  ('review', 'summary', 3),
+  ('interview', 'themes', 4),
+  ('interview', 'takeaways', 3),
+  ('interview', 'qa', 5),
+  ('news', 'angles', 4),
+  ('news', 'what', 3),
+  ('listicle', 'items', 6),
+  ('story', 'phases', 4),
+  ('story', 'background', 3),
+  ('talk', 'arguments', 4),
+  ('talk', 'thesis', 3)"""
 
 
 @query(
@@ -610,8 +693,28 @@ def v3(spark, folder):
     return hollow.select("deck_id", "slide_no", F.round("max_bottom", 6).alias("max_bottom"))
 
 
-_VERDICT = """, pages_of AS (SELECT deck_id, count(*) AS n_slides, count(*) FILTER (n_overflow > 0) AS overflow_slides, count(meta_hit) AS meta_slides,
-  count(density) AS thin_slides, count(*) FILTER (has_img) AS images FROM audited GROUP BY deck_id)"""
+# Files of a deck: pictures, other media, charts and their styles.
+_FILES = """, files AS (SELECT l_suppkey * 10 + l_orderkey % 10 AS deck_id, CASE WHEN l_orderkey % 6 = 0 THEN 'ppt/charts/chart' || l_partkey || '.xml'
+    WHEN l_orderkey % 6 = 1 THEN 'ppt/charts/style' || l_partkey || '.xml' ELSE 'ppt/media/image' || l_partkey || ['.png', '.JPG', '.svg', '.emf'][1 + l_orderkey % 4] END AS name FROM lineitem),
+counted AS (SELECT deck_id, count(DISTINCT name) FILTER (starts_with(name, 'ppt/media/') AND regexp_matches(name, '(?i)[.](png|jpg|jpeg|gif|emf)$')) AS images,
+    count(DISTINCT name) FILTER (starts_with(name, 'ppt/media/')) AS media, count(DISTINCT name) FILTER (regexp_matches(name, '^ppt/charts/chart[0-9]+[.]xml$')) AS charts FROM files GROUP BY deck_id)"""
+_VERDICT = _FILES + """, pages_of AS (SELECT deck_id, count(*) AS n_slides, count(*) FILTER (n_overflow > 0) AS overflow_slides, count(meta_hit) AS meta_slides,
+  count(density) AS thin_slides, coalesce(any_value(images), 0) AS images FROM audited LEFT JOIN counted USING (deck_id) GROUP BY deck_id)"""
+
+
+def _files(spark, folder):
+    o, p = F.col("l_orderkey"), F.col("l_partkey").cast("string")
+    ending = F.array(*[F.lit(e) for e in (".png", ".JPG", ".svg", ".emf")])[(o % 4).cast("int")]
+    name = (
+        F.when(o % 6 == 0, F.concat(F.lit("ppt/charts/chart"), p, F.lit(".xml")))
+        .when(o % 6 == 1, F.concat(F.lit("ppt/charts/style"), p, F.lit(".xml")))
+        .otherwise(F.concat(F.lit("ppt/media/image"), p, ending))
+    )
+    return load(spark, folder, "lineitem").select((F.col("l_suppkey") * 10 + o % 10).alias("deck_id"), name.alias("name"))
+
+
+def _audited(spark, folder):
+    return audits.audit_slides(audits.slide_facts(shapes(spark, folder)))
 
 
 @query(
@@ -620,7 +723,7 @@ _VERDICT = """, pages_of AS (SELECT deck_id, count(*) AS n_slides, count(*) FILT
        overflow_slides + meta_slides + thin_slides + (n_slides < 12)::INT = 0 AS passes FROM pages_of""",
 )
 def v4(spark, folder):
-    return audits.deck_verdicts(audits.audit_slides(audits.slide_facts(shapes(spark, folder))))
+    return audits.deck_verdicts(_audited(spark, folder), files=_files(spark, folder))
 
 
 @query(
@@ -635,23 +738,24 @@ def v4_lenient(spark, folder):
 
 @query(
     "v5_required_images",
-    _SHAPES + _VERDICT + " SELECT deck_id, images, images < 2 AS too_few FROM pages_of",
+    _SHAPES + _VERDICT + " SELECT deck_id, images, images < 20 AS too_few FROM pages_of",
 )
 def v5(spark, folder):
-    audited = audits.audit_slides(audits.slide_facts(shapes(spark, folder)))
-    none = audits.deck_verdicts(audited, 0, True)
-    some = audits.deck_verdicts(audited, 0, True, required_images=2).select("deck_id", F.col("hard_problems").alias("_more"))
-    return none.join(some, "deck_id").select("deck_id", "images", (F.col("_more") > F.col("hard_problems")).alias("too_few"))
+    verdicts = audits.deck_verdicts(_audited(spark, folder), 0, True, 20, _files(spark, folder))
+    # Of the problems counted here only the gate is neither overflow nor phrases.
+    others = F.col("overflow_slides") + F.col("meta_slides")
+    return verdicts.select("deck_id", "images", (F.col("hard_problems") > others).alias("too_few"))
 
 
 @query(
     "a15_slide_text_stats",
-    _SHAPES + """SELECT deck_id, max(n_slides) AS n_slides, min(chars) FILTER (slide_no <> first OR n_slides = 1) AS min_chars,
-       max(chars) FILTER (slide_no <> first OR n_slides = 1) AS max_chars, count(*) FILTER (has_tbl) AS table_slides, count(*) FILTER (has_img) AS image_slides
-       FROM measured GROUP BY deck_id""",
+    _SHAPES + _FILES + """SELECT deck_id, max(n_slides) AS n_slides, min(chars) FILTER (slide_no <> first OR n_slides = 1) AS min_chars,
+       max(chars) FILTER (slide_no <> first OR n_slides = 1) AS max_chars, count(*) FILTER (has_tbl) AS table_slides,
+       coalesce(any_value(media), 0) AS n_media, coalesce(any_value(charts), 0) AS n_charts
+       FROM measured LEFT JOIN counted USING (deck_id) GROUP BY deck_id""",
 )
 def a15(spark, folder):
-    return audits.text_stats(audits.slide_facts(shapes(spark, folder)))
+    return audits.text_stats(audits.slide_facts(shapes(spark, folder)), _files(spark, folder))
 
 
 # --- manifests: orders with their lines as figures ------------------------------------------

@@ -153,7 +153,14 @@ def test_deck_audit(spark):
     assert a == {1: (None, None, 0), 2: ("sparse", None, 0), 3: ("empty_lower_half", None, 0), 4: (None, None, 0), 5: (None, None, 0), 6: (None, "이 영상", 0), 7: (None, None, 1), 8: (None, None, 0)}
     strict = audits.deck_verdicts(audits.audit_slides(audits.slide_facts(df)), 8).first()
     assert (strict.hard_problems, strict.passes) == (4, False)
-    assert audits.deck_verdicts(audits.audit_slides(audits.slide_facts(df)), 12, True, 2).first().hard_problems == 4
+    names = ["ppt/media/image1.png", "ppt/media/image1.png", "ppt/media/image2.JPEG", "ppt/media/film.mp4", "ppt/charts/chart1.xml", "ppt/charts/style1.xml", "x/ppt/media/a.png"]
+    files = spark.createDataFrame([("d", n) for n in names], "deck_id string, name string")
+    audited = audits.audit_slides(audits.slide_facts(df))
+    lenient = {k: audits.deck_verdicts(audited, 12, True, k, files).first() for k in (2, 3)}
+    assert (lenient[2].hard_problems, lenient[2].images, lenient[3].hard_problems) == (3, 2, 4)
+    assert audits.deck_verdicts(audited, 12, True, 1).first().hard_problems == 4
+    stats = audits.text_stats(audits.slide_facts(df), files).first()
+    assert (stats.n_media, stats.n_charts, stats.table_slides) == (3, 1, 0)
 
 
 def test_transcript_pages_join_to_the_whole(spark):
