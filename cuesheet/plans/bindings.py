@@ -153,9 +153,30 @@ CTES["slides"] = (
 )
 
 
+def loose_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames whose place in their recording is not asked for; ``timestamp_sec`` is the event's own time.
+
+    Without the join to recordings an aggregation over them combines map-side, also where one
+    recording holds most rows.
+    """
+    return events(spark, folder).select(
+        F.col("user_id").alias("video_id"),
+        F.col("event_id").alias("ord"),
+        (F.col("us") / F.lit(1e6)).alias("timestamp_sec"),
+        F.col("value").alias("quality_score"),
+        "event_type",
+        (F.col("event_type") == "view").alias("is_scene_boundary"),
+        F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("phash"),
+    )
+
+
 def slides(spark: SparkSession, folder: str) -> DataFrame:
     """Frames with routing flags."""
-    return frames(spark, folder).withColumns(
+    return flagged(frames(spark, folder))
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
         {
             "is_slide": F.col("event_type").isin("view", "click"),
             "contains_graph": F.col("event_type") == "click",

@@ -18,6 +18,7 @@ from cuesheet.plans.bindings import (
     recordings,
     sections,
     slides,
+    loose_frames,
 )
 from cuesheet.plans.registry import query
 
@@ -340,8 +341,10 @@ GROUP BY video_id""",
     ),
 )
 def u5(spark, folder):
-    pool = frames(spark, folder).select("video_id", "timestamp_sec", "t_start", "t_end", "is_scene_boundary")
-    points = frames(spark, folder).where("event_type = 'purchase'")
+    every = loose_frames(spark, folder)
+    at = F.col("timestamp_sec")
+    pool = every.select("video_id", at, at.alias("t_start"), (at + F.col("quality_score") * 10).alias("t_end"), "is_scene_boundary")
+    points = every.where("event_type = 'purchase'")
     return (
         generators.with_forced_grabs(pool, points)
         .groupBy("video_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text, timeline
 from cuesheet.operators import gates, jobs
-from cuesheet.plans.bindings import ctes, events, frames, job_events, job_events_of
+from cuesheet.plans.bindings import ctes, events, flagged, frames, job_events, job_events_of, loose_frames
 from cuesheet.plans.registry import load, query
 from cuesheet.session import shared_folder, stored
 from cuesheet.sources import readers, sinks
@@ -257,7 +257,7 @@ def a5(spark, folder):
 SELECT video_id, count(*) FILTER (confidence < 0.7) AS conf_below, count(confidence) AS conf_total FROM figures GROUP BY video_id"""),
 )
 def a6(spark, folder):
-    figures = frames(spark, folder).withColumn(
+    figures = loose_frames(spark, folder).withColumn(
         "confidence", F.when(F.col("phash") % 9 != 0, F.col("quality_score") / 500)
     )
     return jobs.confidence_counts(figures, ["video_id"])
@@ -300,9 +300,7 @@ def k9(spark, folder):
     ),
 )
 def a7(spark, folder):
-    from cuesheet.plans.bindings import slides
-
-    every = slides(spark, folder)
+    every = flagged(loose_frames(spark, folder))
     figures = every.where("contains_graph or contains_equation").select(
         "video_id",
         F.col("contains_graph").alias("has_box"),
