@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.operators.joins import nearest
 from cuesheet.operators.ranking import LISTICLE_DEEP_CAP
 from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, time_slot
+from cuesheet.session import stored
 
 # --- resource bundles -----------------------------------------------------------------------
 
@@ -25,6 +26,8 @@ def bundle_items(slides: DataFrame, figures: DataFrame, width: float = TIME_SLOT
     for a long recording would have to be built in one task. Keyframes and figures without
     data are left out. ``slides`` needs ``snapshot`` (see ``numbered_slides``).
     """
+    # Both are read several times.
+    slides = stored(slides.select("video_id", "snapshot", "timestamp_sec", "frame_type", "summary_hint"))
     labels = slides.select(
         "video_id", F.lit("figureLabels").alias("part"), F.col("snapshot").alias("ord"), "snapshot",
         F.col("timestamp_sec").alias("t"), F.col("frame_type").alias("kind"), F.col("summary_hint").alias("content"),
@@ -32,7 +35,7 @@ def bundle_items(slides: DataFrame, figures: DataFrame, width: float = TIME_SLOT
     has_latex = (F.col("kind") == "equation") & F.col("latex").isNotNull()
     has_struct = F.coalesce(~F.col("struct").isin("", "{}", "[]", "null"), F.lit(False))
     part = F.when(has_latex, "formulas").when(has_struct, "charts")
-    live = figures.where("kind <> 'keyframe'").withColumn("part", part).where("part is not null")
+    live = stored(figures.where("kind <> 'keyframe'").withColumn("part", part).where("part is not null"))
     placed = nearest(
         live, slides.select("video_id", "snapshot", F.col("timestamp_sec").alias("_at")), "_at", "snapshot", "snapshot", width=width
     )
@@ -284,25 +287,18 @@ def with_figure_slides(slides: DataFrame, figures: DataFrame) -> DataFrame:
 
     ``figures(deck_id, ref_ord, slide_kind)``; ``ref_ord`` orders the references of a deck.
     """
-    numbered = position(figures, ["deck_id"], [F.col("ref_ord")], ord_slot("ref_ord"), "_n", "_of")
-    ends = slides.groupBy("deck_id").agg(F.max("position").alias("_last"))
-    added = numbered.join(ends, "deck_id").select(
-        "deck_id",
-        (F.col("_last") + F.col("_n")).cast("int").alias("position"),
-        F.when(F.col("slide_kind") == "table", "figureTableSlide").otherwise("figureSlide").alias("layout"),
+    # Stored, for it is made of several tables and read twice.
+    numbered = stored(position(figures.select("deck_id", "ref_ord", "slide_kind"), ["deck_id"], [F.col("ref_ord")], ord_slot("ref_ord"), "_n", "_of"))
+    layout = F.when(F.col("slide_kind") == "table", "figureTableSlide").otherwise("figureSlide").alias("layout")
+    lines = slides.select("deck_id", "position", "layout").unionByName(numbered.select("deck_id", layout, "_n", "_of"), allowMissingColumns=True)
+    ends = lines.groupBy("deck_id").agg(F.max("position").alias("_last"), F.max("_of").alias("_figures"))
+    place = (
+        F.when(F.col("_n").isNotNull(), F.col("_last") + F.col("_n"))
+        .when(F.col("position") == F.col("_last"), F.col("position") + F.coalesce("_figures", F.lit(0)))
+        .otherwise(F.col("position"))
     )
-    counts = figures.groupBy("deck_id").agg(F.count(F.lit(1)).alias("_of"))
-    moved = (
-        slides.join(ends, "deck_id").join(counts, "deck_id", "left")
-        .withColumn(
-            "position",
-            F.when(
-                F.col("position") == F.col("_last"), F.col("position") + F.coalesce("_of", F.lit(0))
-            ).otherwise(F.col("position")).cast("int"),
-        )
-        .select("deck_id", "position", "layout")
-    )
-    return moved.unionByName(added)
+    # Figures of a deck without slides have no place.
+    return lines.join(ends, "deck_id").where("_last is not null").select("deck_id", place.cast("int").alias("position"), "layout")
 
 
 def deck_counts(sections: DataFrame, pages: DataFrame, figures: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.ordering import TIME_SLOT_SEC, neighbours, slots_covered, time_slot
+from cuesheet.session import stored
 
 FRAME_KEY = ("video_id", "ord")
 TOPIC_WINDOW_SEC = 3.0
@@ -229,7 +230,8 @@ def midpoint_sections(frames: DataFrame, sections: DataFrame, width: float = TIM
 def attach_figures(figures: DataFrame, sections: DataFrame, width: float = TIME_SLOT_SEC) -> DataFrame:
     """Half-open section of each figure, else the section starting nearest; dropped ones stay out."""
     live = figures.where("manifest_status <> 'dropped'")
-    inside = containing_section(live, sections, default=None, width=width)
+    # Stored, for both kinds of figures are taken from it.
+    inside = stored(containing_section(live, sections, default=None, width=width))
     hit = inside.where("section_matched").withColumn("attached_by", F.lit("window"))
     missed = inside.where("not section_matched").drop("in_section")
     filled = nearest(missed, sections, "from_sec", "index", "in_section", width=width)
