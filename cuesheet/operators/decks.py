@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.functions.text import clip_words
 from cuesheet.operators.joins import nearest
-from cuesheet.operators.ranking import LISTICLE_DEEP_CAP
+from cuesheet.operators.ranking import DECK_CAPS, LISTICLE_DEEP_CAP, top_k
 from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, time_slot
 from cuesheet.session import stored
 
@@ -380,3 +381,76 @@ def concept_pages(concepts: DataFrame) -> DataFrame:
         "page",
         F.when(F.col("_n") > CONCEPT_SPLIT, F.floor(F.col("_pos") / CONCEPTS_PER_PAGE)).otherwise(0),
     ).drop("_pos", "_n")
+
+
+# --- fields of layouts, questions of a book -------------------------------------------------
+
+# Most items in the body of a layout.
+LAYOUT_CAPS = {"key_points": 5, "summary": 6}
+
+
+def layout_fields(slides: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``slides(video_id, position, layout, n, caption)`` with the ``title`` and the ``items`` of their body.
+
+    Layouts draw on fields of the video's summary (see ``parse_summaries``): ``n`` is the number of the
+    section or atom, by position. A field that is absent gives a null title or no items.
+    """
+    layout, n = F.col("layout"), F.col("n")
+    fields = summaries.select("video_id", "core", "analysis", "segments")
+    section, atom = F.get("segments.sections", n), F.get("segments.atoms", n)
+    points = F.transform(section["key_points"], lambda p: p["text"])
+    terms = F.transform("analysis.key_concepts", lambda c: c["term"])
+    title = (
+        F.when(layout.isin("cover", "timeline", "summary"), F.col("core.one_liner"))
+        .when(layout.isin("section_intro", "key_points"), section["title"])
+        .when(layout == "atom_highlight", atom["type"])
+        .when(layout.isin("figure_full", "figure_caption"), F.col("caption"))
+    )
+    items = (
+        F.when(layout == "cover", F.array("analysis.core_argument"))
+        .when(layout == "section_intro", F.array(section["summary"]))
+        .when(layout == "key_points", F.slice(points, 1, LAYOUT_CAPS["key_points"]))
+        .when(layout == "atom_highlight", F.array(atom["text"]))
+        .when(layout == "figure_caption", F.array("caption"))
+        .when(layout == "timeline", F.transform("segments.sections", lambda s: s["title"]))
+        .when(layout == "summary", F.slice(terms, 1, LAYOUT_CAPS["summary"]))
+    )
+    whole = F.coalesce(F.array_compact(items), F.array().cast("array<string>"))
+    return slides.join(fields, "video_id", "left").select(*slides.columns, title.alias("title"), whole.alias("items"))
+
+
+# Most characters of a question, of an answer, and of a title made a question; texts
+# where there is nothing to ask about.
+QUESTION_CHARS, ANSWER_CHARS, TOPIC_CHARS = 60, 90, 30
+NO_TOPIC, NO_ANSWER = "주제", "핵심 개념을 더 탐구해보자."
+
+
+def question_pool(sections: DataFrame, k: int = DECK_CAPS["qa"]) -> DataFrame:
+    """First ``k`` questions of every book: ``(collection_id, rank, q, a)``.
+
+    ``sections(collection_id, chapter, ord, chapter_title, narrative, qa array<struct<q,a>>)``. Pairs
+    count when both texts are given, in the order of chapter, section and pair. A book without any asks about
+    its first chapters, answered by the narrative of their first section.
+    """
+    asked = sections.select("collection_id", "chapter", "ord", F.posexplode("qa").alias("_no", "_p")).select(
+        "collection_id", "chapter", "ord", "_no", F.trim("_p.q").alias("q"), F.trim("_p.a").alias("a")
+    )
+    own = top_k(asked.where("q <> '' and a <> ''"), ["collection_id"], [F.col("chapter"), F.col("ord"), F.col("_no")], k).select(
+        "collection_id", "rank", clip_words(F.col("q"), QUESTION_CHARS).alias("q"), clip_words(F.col("a"), ANSWER_CHARS).alias("a")
+    )
+    first = sections.groupBy("collection_id", "chapter").agg(
+        F.min_by(F.struct("chapter_title", "narrative"), "ord").alias("_s")
+    )
+    chapters = top_k(first, ["collection_id"], [F.col("chapter")], k)
+
+    def given(text: Column, otherwise: str) -> Column:
+        known = F.coalesce(F.trim(text), F.lit(""))
+        return F.when(known == "", otherwise).otherwise(known)
+
+    topics = chapters.select(
+        "collection_id",
+        "rank",
+        F.concat(clip_words(given(F.col("_s.chapter_title"), NO_TOPIC), TOPIC_CHARS), F.lit("?")).alias("q"),
+        clip_words(given(F.col("_s.narrative"), NO_ANSWER), ANSWER_CHARS).alias("a"),
+    )
+    return own.unionByName(topics.join(own.select("collection_id").distinct(), "collection_id", "left_anti"))

@@ -120,10 +120,14 @@ def failure_families(runs: DataFrame, group: Sequence[str]) -> DataFrame:
 def run_gates(runs: DataFrame, group: Sequence[str]) -> DataFrame:
     """Pass ratio, mean attempts and low-confidence share with their verdicts.
 
-    ``runs`` needs ``validate_pass, attempts, failure_stage, error, conf_below, conf_total``.
+    ``runs`` needs ``validate_pass, attempts, failure_stage, error, conf_below, conf_total``. Attempts of
+    calls that crashed, ``crashed_attempts`` where known, count as well: they were made.
     """
     completed = F.col("failure_stage").isNull() & F.col("error").isNull()
-    mean = F.avg(F.when(completed, F.col("attempts")))
+    made = F.col("attempts")
+    if "crashed_attempts" in runs.columns:
+        made = made + F.coalesce("crashed_attempts", F.lit(0))
+    mean = F.avg(F.when(completed, made))
     return (
         runs.groupBy(*group)
         .agg(

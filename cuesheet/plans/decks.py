@@ -238,6 +238,87 @@ def l5(spark, folder):
     )
 
 
+def _clip(column: str, size: int) -> str:
+    """``column`` cut to ``size`` characters at a space beyond 60 %."""
+    cut = f"left({column}, {size})"
+    at = f"CASE WHEN contains({cut}, ' ') THEN length({cut}) - instr(reverse({cut}), ' ') ELSE -1 END"
+    return f"CASE WHEN length({column}) <= {size} THEN {column} ELSE trim(CASE WHEN {at} > {size} * 0.6 THEN left({cut}, {at}) ELSE {cut} END) END"
+
+
+# Turns as sections of a book, four to a chapter. Every fifth book has no pair with both texts.
+@query(
+    "l5_question_pool",
+    f"""WITH sections AS (SELECT conv_id, turn // 4 AS chapter, turn % 4 AS ord, CASE WHEN conv_id % 2 = 0 THEN 'Chapter of ' || role || ' ' || turn // 4 ELSE ' ' END AS title,
+    CASE WHEN turn % 3 <> 0 THEN text END AS narrative, text AS q1, CASE WHEN conv_id % 5 = 0 THEN '' ELSE role END AS a1, role || ' ' || turn AS q2, CASE WHEN conv_id % 5 <> 0 THEN text END AS a2 FROM conversations),
+asked AS (SELECT conv_id, chapter, ord, 0 AS no, trim(q1) AS q, trim(a1) AS a FROM sections UNION ALL SELECT conv_id, chapter, ord, 1, trim(q2), trim(a2) FROM sections),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY chapter, ord, no) AS rank, q, a FROM asked WHERE q <> '' AND a <> '' QUALIFY rank <= 4),
+firsts AS (SELECT conv_id, chapter, arg_min(struct_pack(t := title, n := narrative), ord) AS s FROM sections GROUP BY ALL),
+topics AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY chapter) AS rank, CASE WHEN coalesce(trim(s.t), '') = '' THEN '주제' ELSE trim(s.t) END AS q,
+    CASE WHEN coalesce(trim(s.n), '') = '' THEN '핵심 개념을 더 탐구해보자.' ELSE trim(s.n) END AS a FROM firsts WHERE conv_id NOT IN (SELECT conv_id FROM own) QUALIFY rank <= 4)
+SELECT conv_id AS collection_id, CAST(rank AS INTEGER) AS rank, {_clip("q", 60)} AS q, {_clip("a", 90)} AS a FROM own
+UNION ALL SELECT conv_id, CAST(rank AS INTEGER), ({_clip("q", 30)}) || '?', {_clip("a", 90)} FROM topics""",
+)
+def l5_questions(spark, folder):
+    c, turn, even = F.col("conv_id"), F.col("turn"), F.col("conv_id") % 2 == 0
+    pairs = F.array(
+        F.struct(F.col("text").alias("q"), F.when(c % 5 == 0, "").otherwise(F.col("role")).alias("a")),
+        F.struct(F.concat("role", F.lit(" "), turn.cast("string")).alias("q"), F.when(c % 5 != 0, F.col("text")).alias("a")),
+    )
+    chapter = F.floor(turn / 4)
+    title = F.when(even, F.concat(F.lit("Chapter of "), "role", F.lit(" "), chapter.cast("string"))).otherwise(" ")
+    sections = load(spark, folder, "conversations").select(
+        c.alias("collection_id"), chapter.alias("chapter"), (turn % 4).alias("ord"), title.alias("chapter_title"),
+        F.when(turn % 3 != 0, F.col("text")).alias("narrative"), pairs.alias("qa"),
+    )
+    return decks.question_pool(sections)
+
+
+_LAYOUTS = ("cover", "section_intro", "key_points", "atom_highlight", "figure_full", "figure_caption", "timeline", "summary", "blank")
+
+
+@query(
+    "g6_layout_fields",
+    f"""WITH slides AS (SELECT doc_id, CAST(p AS INTEGER) AS position, {list(_LAYOUTS)}[1 + p] AS layout, CAST(doc_id % 4 AS INTEGER) AS n, 'figure ' || p AS caption
+    FROM documents, unnest(range(0, 9)) AS g(p)),
+filled AS (SELECT *, CASE WHEN layout IN ('cover', 'timeline', 'summary') THEN 'about ' || lang WHEN layout IN ('section_intro', 'key_points') AND n < s.doc_id % 5 THEN 'part ' || n
+      WHEN layout = 'atom_highlight' AND n < s.doc_id % 3 THEN 'fact' WHEN layout IN ('figure_full', 'figure_caption') THEN caption END AS title,
+    CASE WHEN layout = 'cover' THEN CASE WHEN s.doc_id % 2 = 0 THEN ['so'] ELSE [] END WHEN layout = 'section_intro' AND n < s.doc_id % 5 AND n % 2 = 0 THEN ['says ' || n]
+      WHEN layout = 'key_points' AND n < s.doc_id % 5 THEN list_transform(range(0, least(5, (s.doc_id + n) % 8)), lambda j: 'k' || j)
+      WHEN layout = 'atom_highlight' AND n < s.doc_id % 3 THEN ['atom ' || n] WHEN layout = 'figure_caption' THEN [caption]
+      WHEN layout = 'timeline' THEN list_transform(range(0, s.doc_id % 5), lambda j: 'part ' || j) WHEN layout = 'summary' THEN list_transform(range(0, least(6, s.doc_id % 9)), lambda j: 'c' || j) ELSE [] END AS items
+  FROM slides s JOIN documents d ON d.doc_id = s.doc_id)
+SELECT doc_id AS video_id, position, layout, title, CAST(len(items) AS INTEGER) AS n_items, array_to_string(items, '|') AS body FROM filled""",
+)
+def g6_layouts(spark, folder):
+    d = F.col("doc_id")
+
+    def listed(size, make):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: i < size), make)
+
+    def named(name):
+        return lambda i: F.concat(F.lit(name), i.cast("string"))
+
+    def section(i):
+        points = listed((d + i) % 8, lambda j: F.struct(named("k")(j).alias("text")))
+        return F.struct(named("part ")(i).alias("title"), F.when(i % 2 == 0, named("says ")(i)).alias("summary"), points.alias("key_points"))
+
+    summaries = load(spark, folder, "documents").select(
+        d.alias("video_id"), F.struct(F.concat(F.lit("about "), "lang").alias("one_liner")).alias("core"),
+        F.struct(
+            F.when(d % 2 == 0, "so").alias("core_argument"), listed(d % 9, lambda i: F.struct(named("c")(i).alias("term"))).alias("key_concepts")
+        ).alias("analysis"),
+        F.struct(
+            listed(d % 5, section).alias("sections"),
+            listed(d % 3, lambda i: F.struct(F.lit("fact").alias("type"), named("atom ")(i).alias("text"))).alias("atoms"),
+        ).alias("segments"),
+    )
+    slides = load(spark, folder, "documents").select(
+        d.alias("video_id"), (d % 4).cast("int").alias("n"), F.posexplode(F.array(*[F.lit(name) for name in _LAYOUTS])).alias("position", "layout")
+    ).withColumn("caption", named("figure ")(F.col("position")))
+    filled = decks.layout_fields(slides, summaries)
+    return filled.select("video_id", "position", "layout", "title", F.size("items").alias("n_items"), F.array_join("items", "|").alias("body"))
+
+
 @query(
     "l10_slide_file_order",
     """SELECT p_brand, 'ppt/slides/slide' || p_partkey || '.xml' AS file_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part""",

@@ -251,6 +251,17 @@ def a5(spark, folder):
     )
 
 
+@query(
+    "a5_with_crashed_attempts",
+    ctes("job_events", _RUNS + """ SELECT report, round(coalesce(avg(attempts + coalesce(crashed, 0)) FILTER (failure_stage IS NULL AND error IS NULL), 0), 6) AS mean_attempts
+FROM (SELECT *, CASE WHEN conf_total % 4 <> 0 THEN conf_below END AS crashed FROM runs) GROUP BY report"""),
+)
+def a5_crashed(spark, folder):
+    crashed = F.when(F.col("conf_total") % 4 != 0, F.col("conf_below"))
+    gates_ = jobs.run_gates(runs(spark, folder).withColumn("crashed_attempts", crashed), ["report"])
+    return gates_.select("report", F.round("mean_attempts", 6).alias("mean_attempts"))
+
+
 @query(
     "a6_low_confidence_share",
     ctes("frames", """, figures AS (SELECT video_id, CASE WHEN phash % 9 <> 0 THEN quality_score / 500 END AS confidence FROM frames)
