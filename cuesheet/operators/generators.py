@@ -172,6 +172,6 @@ def _topped_up(page: Column, source: Column, sentences: Column) -> Column:
     return F.aggregate(sentences, page, add)
 
 
-def chunks(items: DataFrame, key: list[str], pos: str, size: int = 4) -> DataFrame:
+def chunks(items: DataFrame, pos: str, size: int = 4) -> DataFrame:
     """Number the page of each item when ``size`` items share a page."""
     return items.withColumn("page", F.floor(F.col(pos) / size))

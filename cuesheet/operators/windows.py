@@ -16,6 +16,7 @@ from cuesheet.session import stored
 
 MIN_SEGMENT_SEC = 5.0
 TOPIC_DISTANCE = 0.30
+LABEL_CHARS = 60
 NEAR_DUP_BITS = 10
 FRAME_TARGET = 60
 SLIDE_CAP = 20
@@ -36,10 +37,11 @@ def topic_boundaries(
     threshold: float = TOPIC_DISTANCE,
     min_sec: float = MIN_SEGMENT_SEC,
     slot: Column | None = None,
+    label_chars: int = LABEL_CHARS,
 ) -> DataFrame:
     """Segments that open a new topic: far from the previous kept segment of the recording.
 
-    Needs ``video_id, ord, from_sec, to_sec, text, embedding``.
+    The label is the first ``label_chars`` characters of the text. Needs ``video_id, ord, from_sec, to_sec, text, embedding``.
     """
     kept = long_segments(captions, min_sec)
     paired = previous(
@@ -53,7 +55,7 @@ def topic_boundaries(
             "video_id",
             "ord",
             F.col("from_sec").alias("timestamp_sec"),
-            F.when(F.col("text") != "", F.substring("text", 1, 60)).alias("topic_label"),
+            F.when(F.col("text") != "", F.substring("text", 1, label_chars)).alias("topic_label"),
             "distance",
         )
     )

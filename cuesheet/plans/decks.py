@@ -206,7 +206,7 @@ def g7(spark, folder):
     pairs = load(spark, folder, "conversations").where("role = 'user'").select(
         "conv_id", F.floor(F.col("turn") / 2).alias("pos")
     )
-    return generators.chunks(pairs, ["conv_id"], "pos", 4)
+    return generators.chunks(pairs, "pos", 4)
 
 
 @query(
