@@ -10,10 +10,12 @@ compared in blocks of ``BLOCK`` vectors.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
@@ -92,6 +94,8 @@ def similar_clusters(
 
 def _labels(vectors: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Components ``(id, component)`` of different vectors ``(g, id, v)``."""
+    # The functions run in tasks travel inside the plan, so executors need no installed package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     bits, bands = band_plan(vectors.count(), threshold, miss)
     weights = 1 << np.arange(bits, dtype=np.int64)
     kind = vectors.schema["g"].dataType

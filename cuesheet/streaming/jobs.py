@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -122,6 +124,8 @@ def job_states(log: DataFrame, late: str = "7 days", keep_days: float = 7) -> Da
     time. Finished jobs leave the state ``keep_days`` after their last event (a later event of theirs
     would start them anew, so keep them at least as long as events may be late).
     """
+    # The processor travels inside the plan, so executors need no installed package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     timed = log.withColumn("event_time", F.timestamp_micros("event_us")).withWatermark("event_time", late)
     processor = JobStates(JOB_STAGES[0], int(keep_days * 86_400_000))
     return timed.groupBy("job_id").transformWithState(processor, STATE_SCHEMA, "Update", "EventTime")
