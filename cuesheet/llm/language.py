@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 UNKNOWN = "und"
 MAX_GRAM = 5
@@ -154,17 +155,19 @@ def classify(text: str | None, rows: _Rows) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, judged by ``text`` alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        rows = _Rows(shared.value)
+    # Plain values only: a class in a broadcast would have to be installed on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("given"))
+    place = kept.index("text")
+
+    # Rows pass through the judge, so a filter on its verdict cannot make Spark ask it twice.
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(Model(*shared.value))
         for batch in batches:
-            found = [classify(x.as_py(), rows) for x in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                ["lang_pred", "score"],
-            )
-
-    read = docs.drop("lang_pred", "score").withColumn("_judged", judge(F.col("text")))
-    return read.select("*", "_judged.lang_pred", "_judged.score").drop("_judged")
+            found = [classify(x.as_py(), rows) for x in batch.column(0).field(place)]
+            verdict = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *verdict], ["given", "lang_pred", "score"])
+
+    schema = StructType().add("given", given.schema["given"].dataType).add("lang_pred", StringType()).add("score", DoubleType())
+    return given.mapInArrow(judge, schema).select("given.*", "lang_pred", "score")
