@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 21
+# Where several stages share executors, and each worker keeps what the one before took.
+SMALL_PIECE_BYTES = 1 << 20
 PIECE_TEXTS = 2048
 
 # Odd multipliers of the rolling hashes and the finalizer of splitmix64.

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.bytewords import ALPHANUMERIC, find_words, pieces
+from cuesheet.llm.bytewords import ALPHANUMERIC, SMALL_PIECE_BYTES, find_words, pieces
 from cuesheet.session import stored
 
 WINDOW = 10
@@ -54,7 +54,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE_BYTES):
                 words = find_words(piece.column("text"), ALPHANUMERIC)
                 counts = words.counts
                 base = np.concatenate([[0], np.cumsum(counts + GAP)[:-1]]).astype(np.int64)

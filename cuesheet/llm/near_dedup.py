@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.bytewords import VISIBLE, distinct, find_words, mix, pieces, shingles
+from cuesheet.llm.bytewords import SMALL_PIECE_BYTES, VISIBLE, distinct, find_words, mix, pieces, shingles
 from cuesheet.llm.components import components, joined
 from cuesheet.llm.rows import numbered
 from cuesheet.session import stored
@@ -109,7 +109,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE_BYTES):
                 hashes, bounds = _sets(piece.column("text"))
                 counts = np.diff(bounds)
                 keys = band_keys(signatures(hashes, bounds))
@@ -139,7 +139,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE_BYTES):
                 hashes, bounds = _sets(piece.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column("_row"), lists], ["node", "set"])
