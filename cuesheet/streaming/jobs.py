@@ -53,6 +53,8 @@ class JobStates(StatefulProcessor):
         yield Row(job_id=key[0], **state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.rows.exists():
+            return
         winners = self._winners([tuple(r) for r in self.rows.get()])
         state = self._state(winners, timerValues.getCurrentWatermarkInMs())
         if state["timed_out"] and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(winners):
