@@ -66,3 +66,18 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert nearest(table.where("vec_id < 3"), 100).count() == 2
     assert nearest(table.where("false"), 100).count() == 0
     assert nearest(table.where("vec_id in (1, 2)"), 100).count() == 0
+
+
+def test_neighbours_of_queries_far_from_all_rows(spark):
+    # All differences of such a query go one way, so the chi-square stop alone misses all or none.
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((12000, 64))
+    v[::100] *= 100
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest(table, 100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 12000, 100):
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert [i for _, i in sorted(got[q])] == np.lexsort((np.arange(12000), d))[:10].tolist()
