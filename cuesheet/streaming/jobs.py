@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -15,7 +16,8 @@ from cuesheet.operators.jobs import timeout_sweep
 from cuesheet.sources.store import Change, Store
 
 LOG_COLUMNS = ("seq", "event_us", "event", "stage", "timeout_us", "attempt_count", "last_error")
-LOG_SCHEMA = "seq bigint, event_us bigint, event string, stage string, timeout_us bigint, attempt_count bigint, last_error string"
+# The rows kept of a job as one JSON text, and its timer.
+KEPT_SCHEMA = "rows string, timer bigint"
 STATE_SCHEMA = (
     "job_id string, stage string, status string, timeout_us bigint, attempt_count bigint, last_error string, "
     "failure_stage string, event_us bigint, seq bigint, timed_out boolean"
@@ -31,6 +33,9 @@ class JobStates(StatefulProcessor):
     Which rows those are does not depend on the order in which events come, or on repeats. A timer
     at the deadline turns a running job into an error when the stream's event time passes it, with no
     event of the job; a timer at the end of ``keep`` drops a finished job.
+
+    All is one value with the timer beside it: each call to the state is a message between processes, and
+    listing lists or timers opens an iterator that the store holds until the task ends.
     """
 
     def __init__(self, first_stage: str, keep_ms: int):
@@ -38,30 +43,45 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", LOG_SCHEMA)
+        self.kept = handle.getValueState("kept", KEPT_SCHEMA)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        known, timer = self._known()
         winners = self._winners(known + [tuple(r[c] for c in LOG_COLUMNS) for r in rows])
-        kept = list(dict.fromkeys(winners.values()))
-        self.rows.put(kept)
         state = self._state(winners, timerValues.getCurrentWatermarkInMs())
-        self._set_timer(state)
+        wanted = self._timer(state)
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        kept = list(dict.fromkeys(winners.values()))
+        if (kept, wanted) != (known, timer):
+            self.kept.update((json.dumps(kept), wanted))
         yield Row(job_id=key[0], **state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.rows.exists():
+        known, timer = self._known()
+        if not known:
             return
-        winners = self._winners([tuple(r) for r in self.rows.get()])
+        winners = self._winners(known)
         state = self._state(winners, timerValues.getCurrentWatermarkInMs())
+        # The engine deletes the timer that has expired.
         if state["timed_out"] and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(winners):
-            self._set_timer(state)
+            wanted = self._timer(state)
+            self.handle.registerTimer(wanted)
+            self.kept.update((json.dumps(known), wanted))
             yield Row(job_id=key[0], **state)
         elif state["status"] in ("done", "error"):
-            self.rows.clear()
+            self.kept.clear()
+
+    def _known(self) -> tuple[list[tuple], int | None]:
+        """Rows kept of the job and its timer; none of a new job."""
+        kept = self.kept.get()
+        return ([tuple(r) for r in json.loads(kept[0])], kept[1]) if kept is not None else ([], None)
 
     @staticmethod
     def _mark(row: tuple) -> tuple:
@@ -109,13 +129,12 @@ class JobStates(StatefulProcessor):
         row = winners["timeout_us"]
         return row[4] // 1000 + 1 if row[2] == "enter" and row[4] is not None else None
 
-    def _set_timer(self, state: dict) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _timer(self, state: dict) -> int | None:
         if state["status"] in ("done", "error"):
-            self.handle.registerTimer((state["event_us"] or 0) // 1000 + self.keep_ms)
-        elif state["status"] == "running" and state["timeout_us"] is not None:
-            self.handle.registerTimer(state["timeout_us"] // 1000 + 1)
+            return (state["event_us"] or 0) // 1000 + self.keep_ms
+        if state["status"] == "running" and state["timeout_us"] is not None:
+            return state["timeout_us"] // 1000 + 1
+        return None
 
 
 def job_states(log: DataFrame, late: str = "7 days", keep_days: float = 7) -> DataFrame:

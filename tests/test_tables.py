@@ -217,3 +217,37 @@ def test_summaries_name_the_first_bad_path(spark):
     good, bad = readers.parse_summaries(spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string"))
     assert {r.i: r.bad_path for r in bad.collect()} == {i: p for i, (_, p) in enumerate(cases) if p}
     assert good.count() == 3 and [(r["index"], r.to_sec) for r in readers.summary_sections(good).collect()] == [(0, 9.5)]
+
+
+def test_a_job_costs_three_calls_to_the_state():
+    from cuesheet.streaming.jobs import JobStates
+
+    calls, held = [], {}
+
+    class Kept:
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, value):
+            calls.append("update")
+            held["v"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Kept()
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    states = JobStates("acquire", 1000)
+    states.init(Handle())
+    row = {"seq": 1, "event_us": 5000, "event": "enter", "stage": "build", "timeout_us": 9000, "attempt_count": None, "last_error": None}
+    first = list(states.handleInputRows(("j",), iter([row]), Times()))
+    assert calls == ["get", 10, "update"] and first[0].status == "running"
+    # The same row again changes nothing, so nothing is written.
+    assert list(states.handleInputRows(("j",), iter([row]), Times())) == first and calls[3:] == ["get"]
