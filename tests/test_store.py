@@ -113,3 +113,12 @@ def test_compaction_rewrites_long_buckets_only(spark, tmp_path):
     after = json.loads(json.dumps(store.record()))["tables"]["t"]["buckets"]
     assert all(len(f) == 1 for f in after.values()) and all(after[b] == f for b, f in lists.items() if len(f) == 1)
     assert store.read("t").count() == 6
+
+
+def test_rows_are_written_where_they_lie(spark, tmp_path):
+    # Without a shuffle each of four tasks writes its own file of every bucket.
+    store = Store(spark, str(tmp_path / "s"), 2)
+    folder, buckets = store.write_files("t", spark.range(0, 1000, 1, 4), ["id"])
+    assert sorted(buckets) == ["0", "1"]
+    for b in buckets:
+        assert len(list((tmp_path / "s" / "data" / "t" / folder / f"_bucket={b}").glob("part-*.parquet"))) == 4
