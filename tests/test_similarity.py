@@ -81,3 +81,22 @@ def test_copies_form_one_common_cluster(spark):
     df = spark.createDataFrame(rows, "sector_id string, video_id string, ord long, relevance_pct int, embedding array<float>")
     got = {r.kind: (r.n_points, r.n_videos, r.video_id) for r in topics.common_and_distinctive(df, 5).collect()}
     assert got == {"common": (3, 2, "a"), "distinctive": (1, 1, "c")}
+
+
+def test_bands_of_a_large_group_stay_few():
+    # A row goes out once a band: 55 bands for a group of 250,000 vectors before.
+    bits, bands = similarity.band_plan(250_000, 0.9, 1e-4)
+    assert bands <= 35 and 250_000 / 2**bits <= similarity.BLOCK
+
+
+def test_cosines_next_to_the_threshold_are_settled_in_64_bits(spark, monkeypatch):
+    # Pairs at 1e-9 on either side of the threshold: 32 bits cannot tell them apart. Small calls, so buckets are split among many.
+    monkeypatch.setattr(similarity, "CALL_ROWS", 8)
+    rows, want = [], {}
+    for i in range(40):
+        cosine = 0.9 + (1e-9 if i % 2 else -1e-9)
+        base, other = np.linalg.qr(np.random.default_rng(i).standard_normal((48, 2)))[0].T
+        rows += [(f"s{i}", 2 * i, base.tolist()), (f"s{i}", 2 * i + 1, (cosine * base + np.sqrt(1 - cosine**2) * other).tolist())]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + 1 - i % 2}
+    got = {r.id: r.cluster for r in similarity.similar_clusters(spark.createDataFrame(rows, POINT), ["sector"], "id", "v").collect()}
+    assert got == want
