@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ FOLD_ROWS = 512
 # Frames of a longer recording walked by one task, and hashes told of a piece to the others.
 PIECE_ROWS = 250_000
 SUMMARY_ROWS = 1_024
+# Frames of neighbouring small pieces that one call in a task works off, piece by piece.
+CALL_ROWS = 25_000
 
 
 def long_segments(captions: DataFrame, min_sec: float = MIN_SEGMENT_SEC) -> DataFrame:
@@ -202,6 +205,7 @@ def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int
     run that enters each piece. A piece whose summary does not tell stops its recording; those pieces
     are summarised again, now from the run known or guessed to enter them, until none is left. At
     least one piece more is known each time, mostly all. Last, frames are numbered in one pass.
+    Small pieces share a call, so the calls grow with the frames and not with the pieces.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keys = ["video_id", "_piece"]
@@ -210,18 +214,25 @@ def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int
     placed = position(known, ["video_id"], order, time_slot("timestamp_sec", slot_sec), "_pos")
     pieces = stored(placed.withColumn("_piece", F.floor(F.col("_pos") / piece_rows)))
     hashes = pieces.select(*keys, "_pos", "phash")
+    call = ["video_id", F.floor(F.col("_piece") / max(1, CALL_ROWS // piece_rows)).alias("_call")]
     video = known.schema["video_id"].dataType.simpleString()
 
     # Runs travel as text: a nullable 64-bit integer would become a float in pandas.
-    def entry_of(piece: pd.DataFrame) -> int | None:
-        entry = piece["_entry"].iloc[0]
-        return None if pd.isna(entry) else int(entry)
-
-    def summarised(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("_pos")
-        found = summarise_piece(piece["phash"].to_numpy(), entry_of(piece), radius)
-        found["exit"] = str(found["exit"])
-        return pd.DataFrame([{"video_id": key[0], "_piece": key[1], "guess": piece["_entry"].iloc[0], **found}])
+    def pieces_of(rows: pd.DataFrame) -> Iterator[tuple[int, str | None, np.ndarray]]:
+        """Number, entered run and hashes of each piece of rows in order."""
+        numbers, entries, hashes = rows["_piece"].to_numpy(), rows["_entry"].to_numpy(), rows["phash"].to_numpy()
+        starts = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
+        for start, end in zip(starts, [*starts[1:], len(numbers)]):
+            entry = entries[start]
+            yield int(numbers[start]), None if pd.isna(entry) else entry, hashes[start:end]
+
+    def summarised(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for piece, entry, own in pieces_of(rows.sort_values("_pos")):
+            found = summarise_piece(own, None if entry is None else int(entry), radius)
+            found["exit"] = str(found["exit"])
+            out.append({"video_id": key[0], "_piece": piece, "guess": entry, **found})
+        return pd.DataFrame(out)
 
     summary = f"video_id {video}, _piece bigint, guess string, size bigint, exit string, begun bigint, head array<bigint>, starts array<int>, kinds array<bigint>"
 
@@ -242,27 +253,27 @@ def _walk_pieces(known: DataFrame, radius: int, slot_sec: float, piece_rows: int
         return pd.DataFrame(out, columns=["video_id", "_piece", "_entry", "_sure", "_offset"]).assign(n_runs=offset)
 
     entries = f"video_id {video}, _piece bigint, _entry string, _sure boolean, _offset bigint, n_runs bigint"
-    state = stored(hashes.withColumn("_entry", F.lit(None).cast("string")).groupBy(*keys).applyInPandas(summarised, summary))
+    state = stored(hashes.withColumn("_entry", F.lit(None).cast("string")).groupBy(*call).applyInPandas(summarised, summary))
     while True:
         entered = stored(state.groupBy("video_id").applyInPandas(composed, entries))
         unsure = entered.where("not _sure").select(*keys, "_entry")
         if unsure.isEmpty():
             break
-        again = _of_pieces(hashes, unsure).groupBy(*keys).applyInPandas(summarised, summary)
+        again = _of_pieces(hashes, unsure).groupBy(*call).applyInPandas(summarised, summary)
         same = F.col("s.video_id").eqNullSafe(F.col("u.video_id")) & (F.col("s._piece") == F.col("u._piece"))
         state = stored(state.alias("s").join(unsure.alias("u"), same, "left_anti").unionByName(again))
 
-    def numbered(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("_pos")
-        numbers, _ = walk_runs(piece["phash"].to_numpy(), entry_of(piece), radius)
-        return piece.assign(_no=numbers)[columns]
+    def numbered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        walks = [walk_runs(own, None if entry is None else int(entry), radius)[0] for _, entry, own in pieces_of(rows)]
+        return rows.assign(_no=np.concatenate(walks))[columns]
 
     full = _of_pieces(pieces, entered.drop("_sure"))
     columns = [*known.columns, "_offset", "n_runs", "_no"]
     types = {f.name: f.dataType.simpleString() for f in full.schema}
     schema = ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in columns)
     return (
-        full.groupBy(*keys)
+        full.groupBy(*call)
         .applyInPandas(numbered, schema)
         .withColumn("run_no", F.col("_no") + F.col("_offset"))
         .drop("_no", "_offset")

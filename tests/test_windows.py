@@ -69,6 +69,18 @@ def test_recordings_choose_their_walk_alone(spark, monkeypatch):
     assert {(r.video_id, r.ord): r.run_no for r in got} == want
 
 
+def test_small_pieces_share_a_call(spark, monkeypatch):
+    # 70 pieces of one recording in calls of three; the last call has one piece of one frame.
+    monkeypatch.setattr(W, "CALL_ROWS", 30)
+    draw = random.Random(4)
+    hashes = [draw.getrandbits(7) for _ in range(691)]
+    df = spark.createDataFrame([frame("v", i, h) for i, h in enumerate(hashes)], FRAME)
+    runs = W.near_duplicate_runs(df, 2, 10.0, fold_rows=5, piece_rows=10)
+    assert "_call" in runs._jdf.queryExecution().toString()
+    got = {r.ord: r.run_no for r in runs.collect()}
+    assert [got[i] for i in range(691)] == models.runs(hashes, 2)
+
+
 def test_signed_hashes_and_missing_ones(spark):
     df = spark.createDataFrame([frame("v", 0, -1), frame("v", 1, -2), frame("v", 2, None), frame("v", 3, 0)], FRAME)
     assert {r.ord: r.run_no for r in W.near_duplicate_runs(df, 10).collect()} == {0: 0, 1: 0, 3: 1}
