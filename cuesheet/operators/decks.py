@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions.text import clip_words
 from cuesheet.operators.joins import nearest
 from cuesheet.operators.ranking import DECK_CAPS, LISTICLE_DEEP_CAP, top_k
-from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, time_slot
+from cuesheet.ordering import TIME_SLOT_SEC, ord_slot, position, position_in_groups, time_slot
 from cuesheet.session import stored
 
 # --- resource bundles -----------------------------------------------------------------------
@@ -288,11 +288,13 @@ def with_figure_slides(slides: DataFrame, figures: DataFrame) -> DataFrame:
 
     ``figures(deck_id, ref_ord, slide_kind)``; ``ref_ord`` orders the references of a deck.
     """
-    # Stored, for it is made of several tables and read twice.
-    numbered = stored(position(figures.select("deck_id", "ref_ord", "slide_kind"), ["deck_id"], [F.col("ref_ord")], ord_slot("ref_ord"), "_n", "_of"))
+    # Stored, for they are made of several tables and read several times.
+    figures = stored(figures.select("deck_id", "ref_ord", "slide_kind"))
+    numbered = position_in_groups(figures, ["deck_id"], [F.col("ref_ord")], ord_slot("ref_ord"), "_n")
     layout = F.when(F.col("slide_kind") == "table", "figureTableSlide").otherwise("figureSlide").alias("layout")
-    lines = slides.select("deck_id", "position", "layout").unionByName(numbered.select("deck_id", layout, "_n", "_of"), allowMissingColumns=True)
-    ends = lines.groupBy("deck_id").agg(F.max("position").alias("_last"), F.max("_of").alias("_figures"))
+    lines = slides.select("deck_id", "position", "layout").unionByName(numbered.select("deck_id", layout, "_n"), allowMissingColumns=True)
+    counted = slides.select("deck_id", "position").unionByName(figures.select("deck_id", F.lit(1).alias("_one")), allowMissingColumns=True)
+    ends = counted.groupBy("deck_id").agg(F.max("position").alias("_last"), F.sum("_one").alias("_figures"))
     place = (
         F.when(F.col("_n").isNotNull(), F.col("_last") + F.col("_n"))
         .when(F.col("position") == F.col("_last"), F.col("position") + F.coalesce("_figures", F.lit(0)))

@@ -16,11 +16,15 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesheet.session import stored
+
 # One hour of a recording split in twelve. Narrow on purpose: a sparse recording has few rows
 # whatever the width, a dense one is cut into many tasks.
 TIME_SLOT_SEC = 300.0
 # For orders that are already dense integers.
 ORD_SLOT_ROWS = 1 << 20
+# Rows up to which a group may be numbered in one task.
+SMALL_GROUP_ROWS = 1 << 16
 
 
 def time_slot(seconds: Column | str, width: float = TIME_SLOT_SEC) -> Column:
@@ -104,6 +108,23 @@ def previous(
     )
 
 
+def position_in_groups(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], slot: Column, pos: str = "pos", small_rows: int = SMALL_GROUP_ROWS
+) -> DataFrame:
+    """The same position where most groups are small: those of up to ``small_rows`` rows are one window
+    each, only larger ones are cut in slots. Counts the groups first, so ``df`` should be cheap to read.
+    """
+    keys = list(group)
+    large = df.groupBy(*keys).count().where(F.col("count") > small_rows).select(*[F.col(c).alias(f"_of_{c}") for c in keys])
+    large = stored(large)
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if large.isEmpty():
+        return df.withColumn(pos, (within - 1).cast("bigint"))
+    is_large = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    small = df.join(large, is_large, "left_anti").withColumn(pos, (within - 1).cast("bigint"))
+    return small.unionByName(position(df.join(large, is_large, "left_semi"), keys, order, slot, pos))
+
+
 def neighbours(
     df: DataFrame, group: Sequence[str], order: Sequence[str], slot: Column, value: str
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from cuesheet.functions import text
 from cuesheet.operators import audits, decks, generators, joins, ranking, topics
 from cuesheet.operators.classify import DECK_TYPES
 from cuesheet.operators.gates import relevance_path
-from cuesheet.ordering import position
+from cuesheet.ordering import position, position_in_groups
 from cuesheet.plans.bindings import _LINE, ctes, frames, recordings, sections, slides
 from cuesheet.plans.frames import DAY
 from cuesheet.plans.gating import RELEVANCE, relevance
@@ -493,7 +493,7 @@ def _resolved(spark, folder):
     line = load(spark, folder, "lineitem")
     rank = F.col("l_partkey") * 1000 + F.col("l_suppkey")
     key = [F.col("l_orderkey").alias("deck_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("figure_id")]
-    refs = position(
+    refs = position_in_groups(
         line, ["l_orderkey"], [F.col(c.strip()) for c in _LINE.split(",")], F.floor(F.col("l_partkey") / 64), "ref_ord"
     ).select(*key, "ref_ord", F.when(F.col("l_returnflag") == "R", "table").otherwise("chart").alias("kind"))
     assets = line.where("l_linestatus = 'F'").select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuesheet.ordering import neighbours, position, previous, slots_covered, time_slot
+from cuesheet.ordering import neighbours, position, position_in_groups, previous, slots_covered, time_slot
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,17 @@ def test_position(rows, width):
     assert sorted(map(tuple, got.select("ord", "pos", "n").collect())) == sorted(map(tuple, want.select("ord", "pos", "n").collect()))
 
 
+@pytest.mark.parametrize("small", [0, 60, 10000])
+def test_position_in_groups(rows, small):
+    """Only groups of more than ``small`` rows are cut in slots; the null group counts as one."""
+    order, some = [F.col("t"), F.col("ord")], rows.withColumn("g", F.nullif("g", F.lit("g2")))
+    got = position_in_groups(some, ["g"], order, time_slot("t", 50.0), "pos", small)
+    want = some.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy(*order)) - 1)
+    assert sorted(map(tuple, got.select("ord", "pos").collect())) == sorted(map(tuple, want.select("ord", "pos").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_slot" in plan) == (small < 10000)
+
+
 @pytest.mark.parametrize("width", [1.0, 50.0, 10000.0])
 def test_previous(rows, width):
     got = previous(rows, ["g"], ["t", "ord"], time_slot("t", width), {"p": "ord"})
