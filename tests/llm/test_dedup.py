@@ -8,6 +8,7 @@ from cuesheet.llm.components import components, joined
 from cuesheet.llm.line_dedup import aligned_lines, ascending, drop_common_blocks, runs_of_lines
 from cuesheet.llm.near_dedup import COMPONENTS, drop_near_duplicates, near_duplicates, signatures
 from cuesheet.llm.paragraph_dedup import drop_repeated_paragraphs
+from cuesheet.llm.passages import PASSAGE_WORDS, drop_repeated_passages
 
 DOC = "doc_id bigint, text string, n_removed string, component_id int"
 
@@ -137,6 +138,59 @@ def test_paragraphs(spark):
     assert drop_repeated_paragraphs(spark.createDataFrame([], DOC)).count() == 0
 
 
+def passages_by_hand(docs):
+    """Repeated words, removed words and rest of each text of rows (id, text) in order of ids."""
+    split = [(t or "").lower().split() for _, t in docs]
+    holders = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - PASSAGE_WORDS + 1):
+            holders.setdefault(tuple(w[i : i + PASSAGE_WORDS]), []).append(d)
+    out = []
+    for d, (w, (_, text)) in enumerate(zip(split, docs, strict=True)):
+        repeated, removed = set(), set()
+        for i in range(len(w) - PASSAGE_WORDS + 1):
+            at = holders[tuple(w[i : i + PASSAGE_WORDS])]
+            if at[0] != at[-1]:
+                repeated.update(range(i, i + PASSAGE_WORDS))
+                removed.update(range(i, i + PASSAGE_WORDS) if at[0] != d else ())
+        rest = None if text is None else " ".join(x for i, x in enumerate(text.split()) if i not in removed)
+        out.append((sorted(repeated), sorted(removed), rest))
+    return out
+
+
+def test_passages_inside_lines(spark):
+    rnd = random.Random(12)
+    p, q, hot, loop = words(rnd, 90), words(rnd, 51), words(rnd, 60), "lorem ipsum " * 70
+    docs = []
+    for k in range(120):
+        # Passages whole, cut, a word changed, in capitals, at any place of texts without line breaks.
+        inner = [words(rnd, rnd.randrange(70))]
+        for _ in range(rnd.randrange(3)):
+            part = rnd.choice([p, q, hot, hot, loop]).split()
+            a = rnd.choice([0, 0, rnd.randrange(40)])
+            part = part[a : rnd.choice([len(part), len(part), a + rnd.randrange(30, 80)])]
+            inner += [similar(rnd, " ".join(part), rnd.choice([0, 0, 1])), words(rnd, rnd.randrange(70))]
+        text = " ".join(x for x in inner if x)
+        docs.append((k, text.upper() if k % 9 == 0 else text))
+    # Twice in one text only, exact copies, 50 words only, other scripts, nothing.
+    twice, wide = words(rnd, 60), " ".join(f"слово{rnd.randrange(999)}é" for _ in range(55))
+    docs += [(200, f"{twice} x {twice}"), (201, docs[5][1]), (202, docs[5][1]), (203, " ".join(p.split()[:50]) + " y")]
+    docs += [(204, f"a {wide}"), (205, f"{wide} b"), (206, None), (207, ""), (208, "few words"), (None, f"z {p} z")]
+    want = passages_by_hand(docs)
+    rows = [(d, t, None, 7) for d, t in docs]
+    rnd.shuffle(rows)
+    got = {r.doc_id: r for r in drop_repeated_passages(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(got) == len(docs) and any(w[1] for w in want)
+    for (d, text), (repeated, removed, rest) in zip(docs, want, strict=True):
+        r = got[d]
+        assert [i for a, b in r.repeated for i in range(a, b)] == repeated and r.n_repeated == len(repeated)
+        assert [i for a, b in r.removed for i in range(a, b)] == removed and r.n_removed == len(removed)
+        assert r.n_words == len((text or "").split()) and r.component_id == 7
+        assert r.text == rest if rest is None else r.text.rstrip() == rest
+    assert got[200].n_repeated == 0 and got[205].n_removed == 55 and got[204].n_removed == 0 and got[204].n_repeated == 55
+    assert got[None].text == "z z" and drop_repeated_passages(spark.createDataFrame([], DOC)).count() == 0
+
+
 def test_lines(spark):
     rnd = random.Random(8)
     a = [words(rnd, 12) for _ in range(6)]
