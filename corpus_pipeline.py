@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.llm import decontaminate, language, line_dedup, mixing, near_dedup
-from cuesheet.session import stored
+from cuesheet.session import bound_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Documents whose language is less sure than this are rejected with those that have none.
@@ -19,6 +19,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; where ``lang`` is null the one found takes its place."""
+    bound_batches(spark)
     model = language.learn(docs.select("doc_id", "text", "lang"))
     judged = language.predict(_columns(docs), model)
     sure = judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
@@ -27,6 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines earlier ones have; emptied documents go."""
+    bound_batches(spark)
     cut = line_dedup.drop_common_blocks(_columns(docs))
     left = cut.where("n_removed = 0 or length(trim(text)) > 0")
     return _columns(left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))))
@@ -34,11 +36,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(_columns(docs))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no window of a benchmark item."""
+    bound_batches(spark)
     return decontaminate.clean(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

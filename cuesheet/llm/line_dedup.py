@@ -164,10 +164,20 @@ def aligned_lines(shared: list[dict], least_chars: int = LEAST_CHARS) -> list[in
     return sorted(gone)
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _align(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([aligned_lines(x) for x in batch.to_pylist()], pa.list_(pa.int32()))
+def aligned(lists: DataFrame) -> DataFrame:
+    """``(row, removed)`` of rows ``(row, shared)`` that have lines to delete."""
+
+    # Rows pass through: a filter on the verdict of a column function would be pushed below it, and
+    # Spark would align every document twice, in two workers a task.
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One document's lines at a time are Python values.
+            found = [aligned_lines(x.as_py()) for x in batch.column(1)]
+            removed = pa.array(found, pa.list_(pa.int32()))
+            made = pa.RecordBatch.from_arrays([batch.column(0), removed], ["row", "removed"])
+            yield made.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return lists.select("row", "shared").mapInArrow(align, "row bigint, removed array<int>")
 
 
 _RUN = StructType([StructField("i", IntegerType()), StructField("k", IntegerType()), StructField("h", LongType())])
@@ -217,7 +227,7 @@ def common_blocks(rows: DataFrame) -> DataFrame:
     shared = stored(lines.join(holders, "h").where("row <> partner").drop("h", "doc_id"))
     own = F.struct("i", "k", "chars", "before", "after", "partner", "j", "places", "once", "holder_before", "holder_after", "df")
     lists = shared.groupBy("row").agg(F.collect_list(own).alias("shared"))
-    return stored(lists.select("row", _align("shared").alias("removed")).where("size(removed) > 0"))
+    return stored(aligned(lists))
 
 
 def drop_common_blocks(docs: DataFrame) -> DataFrame:

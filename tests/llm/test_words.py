@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +51,14 @@ def test_distinct_shingles_are_those_of_python_sets():
         seen[frozenset(want)] = seen.get(frozenset(want), own)
         assert seen[frozenset(want)] == own
     assert np.diff(bounds).sum() == len(hashes)
+
+
+def test_words_of_a_piece_take_little_memory():
+    texts = pa.array([f"word{i % 97} " * 600 for i in range(250)])
+    tracemalloc.start()
+    try:
+        find_words(texts, VISIBLE)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 30 * texts.nbytes
