@@ -13,11 +13,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from cuesheet.operators.gates import JOB_STAGES
 from cuesheet.operators.jobs import timeout_sweep
-from cuesheet.sources.store import Change, Store
+from cuesheet.sources.store import Change, Store, hash_bucket
 
 LOG_COLUMNS = ("seq", "event_us", "event", "stage", "timeout_us", "attempt_count", "last_error")
 # The rows kept of a job as one JSON text, and its timer.
 KEPT_SCHEMA = "rows string, timer bigint"
+# The jobs of a group as one JSON text, its timer, and the number of groups that the text is made for.
+GROUP_SCHEMA = "jobs string, timer bigint, groups int"
+GROUPS = 4_096
+_GROUP = "_group"
+# Each cell of a row costs a conversion, so a log row travels to its group as one JSON text.
+_ENTRY = "_entry"
+_NUMBERS = ("seq", "event_us", "timeout_us", "attempt_count")
+# Rows of one job that are collected before they are cut to those that count.
+_PENDING = 64
 STATE_SCHEMA = (
     "job_id string, stage string, status string, timeout_us bigint, attempt_count bigint, last_error string, "
     "failure_stage string, event_us bigint, seq bigint, timed_out boolean"
@@ -137,19 +146,120 @@ class JobStates(StatefulProcessor):
         return None
 
 
-def job_states(log: DataFrame, late: str = "7 days", keep_days: float = 7) -> DataFrame:
+class JobGroups(JobStates):
+    """States of the jobs of one hash group, kept as one value with one timer, that of the job due first.
+
+    A key costs some messages between processes and a batch of rows of its own, whatever it holds; a group
+    pays them once for all its jobs. A batch rewrites the jobs of every group it touches.
+    """
+
+    def __init__(self, first_stage: str, keep_ms: int, groups: int):
+        super().__init__(first_stage, keep_ms)
+        self.groups = groups
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("jobs", GROUP_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known, timer = self._known()
+        # A job may hold most rows of a batch, so its rows are cut as they come.
+        fresh: dict[str | None, list[tuple]] = {}
+        for row in rows:
+            job, seq, us, event, stage, timeout, attempts, error = json.loads(row[_ENTRY])
+            pending = fresh.setdefault(job, [])
+            pending.append((_number(seq), _number(us), event, stage, _number(timeout), _number(attempts), error))
+            if len(pending) >= _PENDING:
+                pending[:] = self._cut(self._winners(pending))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        changed = False
+        for job, entries in fresh.items():
+            before = known.get(job)
+            winners = self._winners([tuple(r) for r in before[0]] + entries if before else entries)
+            state = self._state(winners, watermark)
+            after = [[list(r) for r in self._cut(winners)], self._timer(state)]
+            if after != before:
+                known[job], changed = after, True
+            yield Row(job_id=job, **state)
+        if changed:
+            self._keep(known, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known, _ = self._known()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for job, (rows, timer) in list(known.items()):
+            if timer is None or timer > watermark:
+                continue
+            winners = self._winners([tuple(r) for r in rows])
+            state = self._state(winners, watermark)
+            if state["timed_out"] and timer == self._deadline(winners):
+                # A time to leave that is the deadline itself would look like one not passed yet.
+                known[job][1] = self._timer(state) + (self._timer(state) == timer)
+                yield Row(job_id=job, **state)
+            else:
+                del known[job]
+        self._keep(known, None, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _known(self) -> tuple[dict[str | None, list], int | None]:
+        """Rows kept of every job of the group with its timer, and the timer of the group."""
+        kept = self.kept.get()
+        if kept is None:
+            return {}, None
+        if kept[2] != self.groups:
+            raise ValueError(f"the checkpoint was begun with {kept[2]} groups, not {self.groups}")
+        return {job: [rows, timer] for job, rows, timer in json.loads(kept[0])}, kept[1]
+
+    def _keep(self, known: dict[str | None, list], timer: int | None, expired: int | None = None) -> None:
+        wanted = min((t for _, t in known.values() if t is not None), default=None)
+        if wanted is not None and wanted == expired:
+            # The engine deletes the timer that has expired, after this call.
+            wanted += 1
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if known:
+            self.kept.update((json.dumps([[job, *held] for job, held in known.items()]), wanted, self.groups))
+        else:
+            self.kept.clear()
+
+    @staticmethod
+    def _cut(winners: dict[str, tuple]) -> list[tuple]:
+        return list(dict.fromkeys(winners.values()))
+
+
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
+
+
+def _entry() -> Column:
+    """Log row as a JSON list of texts, its job first."""
+    cells = [F.col(c).cast("bigint") if c in _NUMBERS else F.col(c) for c in ("job_id", *LOG_COLUMNS)]
+    return F.to_json(F.array(*[c.cast("string") for c in cells]))
+
+
+def job_states(log: DataFrame, late: str = "7 days", keep_days: float = 7, groups: int | None = GROUPS) -> DataFrame:
     """Changed states of the jobs of a streamed ``log``, ``timed_out`` among them.
 
     Event time ends ``late`` behind the newest event; rows older than that are dropped by the engine, and
     a running job whose deadline it passes becomes an error then, as ``timeout_sweep`` does at that
     time. Finished jobs leave the state ``keep_days`` after their last event (a later event of theirs
     would start them anew, so keep them at least as long as events may be late).
+
+    Jobs are kept in ``groups`` by the hash of their id; the number is fixed for a checkpoint. None keeps every
+    job under a key of its own, for small batches over so many kept jobs that groups are large.
     """
     # The processor travels inside the plan, so executors need no installed package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     timed = log.withColumn("event_time", F.timestamp_micros("event_us")).withWatermark("event_time", late)
-    processor = JobStates(JOB_STAGES[0], int(keep_days * 86_400_000))
-    return timed.groupBy("job_id").transformWithState(processor, STATE_SCHEMA, "Update", "EventTime")
+    keep_ms = int(keep_days * 86_400_000)
+    if groups is None:
+        key, processor = "job_id", JobStates(JOB_STAGES[0], keep_ms)
+    else:
+        key, processor = _GROUP, JobGroups(JOB_STAGES[0], keep_ms, groups)
+        timed = timed.select(hash_bucket(["job_id"], groups).alias(_GROUP), "event_time", _entry().alias(_ENTRY))
+    return timed.groupBy(key).transformWithState(processor, STATE_SCHEMA, "Update", "EventTime")
 
 
 def start_job_state(
@@ -160,6 +270,7 @@ def start_job_state(
     late: str = "7 days",
     keep_days: float = 7,
     compact_at: int = 8,
+    groups: int | None = GROUPS,
 ) -> StreamingQuery:
     """Keep the table ``jobs`` of ``store`` current with the state of every job in ``log``.
 
@@ -178,7 +289,7 @@ def start_job_state(
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, PROVIDER)
-    writer = job_states(log, late, keep_days).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = job_states(log, late, keep_days, groups).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         writer = writer.trigger(availableNow=True)
     try:

@@ -1,8 +1,10 @@
 """Sinks, readers and the streaming job log."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cuesheet.operators import audits, decks, jobs
@@ -251,3 +253,128 @@ def test_a_job_costs_three_calls_to_the_state():
     assert calls == ["get", 10, "update"] and first[0].status == "running"
     # The same row again changes nothing, so nothing is written.
     assert list(states.handleInputRows(("j",), iter([row]), Times())) == first and calls[3:] == ["get"]
+
+
+class _Handle:
+    """State and timers of one key, and the calls made to them."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, ms):
+        self.calls.append(ms)
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls.append(-ms)
+        self.timers.remove(ms)
+
+
+class _Times:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def _log_row(*cells):
+    """A row as it comes to a group."""
+    return Row(_group=3, event_time=None, _entry=json.dumps([c if c is None else str(c) for c in cells]))
+
+
+def _group(handle, groups=8, keep_ms=1000):
+    from cuesheet.streaming.jobs import JobGroups
+
+    states = JobGroups("acquire", keep_ms, groups)
+    states.init(handle)
+    return states
+
+
+def test_a_group_of_jobs_costs_the_calls_of_one():
+    handle = _Handle()
+    states = _group(handle)
+    rows = [_log_row(f"j{i}", 1, 5000, "enter", "build", 9000 + 1000 * i, None, None) for i in range(50)]
+    rows += [_log_row(None, 1, 5000, "create", None, None, None, None), _log_row("None", 1, 5000, "fail", "build", None, 2, "e")]
+    first = list(states.handleInputRows((3,), iter(rows), _Times(0)))
+    assert handle.calls == ["get", 10, "update"] and len(first) == 52
+    assert {r.job_id: r.status for r in first[-2:]} == {None: "queued", "None": "error"}
+    # The same rows again change nothing, so nothing is written.
+    assert list(states.handleInputRows((3,), iter(rows), _Times(0))) == first and handle.calls[3:] == ["get"]
+    # Jobs up to j3 are late at 13 ms and have no event; the next timer is that of j4.
+    handle.calls.clear()
+    late = list(states.handleExpiredTimer((3,), _Times(13), _Times(10)))
+    assert [(r.job_id, r.last_error, r.timed_out) for r in late] == [(f"j{i}", "timeout", True) for i in range(4)]
+    assert handle.calls == ["get", 14, "update"]
+    # An earlier deadline takes the place of the timer.
+    handle.timers = {14}
+    list(states.handleInputRows((3,), iter([_log_row("k", 2, 6000, "enter", "build", 12_999, None, None)]), _Times(12)))
+    assert handle.timers == {13}
+    # Finished jobs leave after their time, those that are late now at the next timer, which is not the one the
+    # engine is about to delete; a job without a timer stays.
+    assert len(list(states.handleExpiredTimer((3,), _Times(10**6), _Times(1005)))) == 47 and handle.calls[-2:] == [1006, "update"]
+    assert list(states.handleExpiredTimer((3,), _Times(10**6), _Times(1006))) == [] and list(states._known()[0]) == [None]
+    # Also where the time to leave is the deadline.
+    list(states.handleInputRows((3,), iter([_log_row("k", 1, 2_000_000, "enter", "build", 2_999_000, None, None)]), _Times(0)))
+    assert [r.job_id for r in states.handleExpiredTimer((3,), _Times(3000), _Times(3000))] == ["k"]
+    assert list(states.handleExpiredTimer((3,), _Times(3001), _Times(3001))) == [] and list(states._known()[0]) == [None]
+    with pytest.raises(ValueError):
+        _group(handle, groups=9)._known()
+
+
+def test_rows_of_a_hot_job_are_cut_as_they_come(spark, monkeypatch):
+    from cuesheet.streaming import jobs as streaming
+
+    kinds = ["create", "enter", "fail", "enter", "complete", "enter"]
+    rows = [("hot", i, (i * 7919) % 3000, kinds[i % 6], f"s{i % 5}", i, i if i % 4 == 0 else None, f"e{i}") for i in range(3000)]
+    handle, longest = _Handle(), []
+    states = _group(handle)
+    winners = states._winners
+    monkeypatch.setattr(states, "_winners", lambda r: longest.append(len(r)) or winners(r))
+    got = list(states.handleInputRows((3,), (_log_row(*r) for r in rows), _Times(-(10**15))))
+    assert max(longest) <= streaming._PENDING + 7
+    want = jobs.job_state(spark.createDataFrame(rows, LOG)).first().asDict()
+    assert [{k: r[k] for k in want} for r in got] == [want]
+
+
+def test_groups_and_single_jobs_keep_the_same_states(spark, tmp_path):
+    rng = random.Random(4)
+    base, hour = 1_700_000_000_000_000, 3_600_000_000
+    parts = [[(None, 1, base, "create", None, None, None, None), ("null", 1, base, "fail", "", None, 1 << 62, "null"), ("n", None, base, "enter", None, None, None, None)], [], []]
+    for i in range(900):
+        us = base + (i // 300) * 30 * hour + rng.randrange(hour)
+        event = rng.choice(["create", "enter", "enter", "complete", "fail"])
+        due = us + rng.randrange(1, 40) * hour if event == "enter" else None
+        error = rng.choice([None, "", 'a "b"\\\n', "오류 ☠"]) if event == "fail" else None
+        parts[i // 300].append((f"j{rng.randrange(200)}", i, us, event, rng.choice("abc"), due, rng.choice([None, 1, 2]), error))
+    got, state = {}, {}
+    for groups in (3, None):
+        source, store = str(tmp_path / f"log{groups}"), Store(spark, str(tmp_path / f"state{groups}"), 4)
+        for part in parts:
+            spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(LOG).parquet(source)
+            query = start_job_state(stream, store, str(tmp_path / f"progress{groups}"), True, "0 seconds", 1, groups=groups)
+            query.awaitTermination()
+        got[groups] = sorted(map(str, read_job_state(store).drop("batch").collect()))
+        state[groups] = query.recentProgress[0]["stateOperators"][0]
+    assert got[3] == got[None] and any("timed_out=True" in r for r in got[3]) and any("status='running'" in r for r in got[3])
+    # Keys and timers, at most two a group in a batch, are not as many as jobs.
+    assert state[3]["numRowsTotal"] == 3 and state[3]["customMetrics"]["numRegisteredTimers"] <= 6 < state[None]["customMetrics"]["numRegisteredTimers"]
